@@ -131,5 +131,5 @@ def groups(docs: DataFrame, block: int = BLOCK, hash_bits: int = 64) -> DataFram
     Of rows with equal text and equal doc_id, all have kept true: they can't be told apart by id.
     """
     found = identities(docs, block, hash_bits)
-    sizes = found.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    sizes = stored(found.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")  # a plain table, so that Spark can split a large group in the join
     return found.join(sizes, ["n", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
