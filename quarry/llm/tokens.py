@@ -1,19 +1,26 @@
 """Token ids of whole texts, word by word.
 
 White space always ends a pre-token of the tokenizer used here, so the ids of a text are those of
-its words one after another. Each worker keeps the ids of the words it has met, up to a fixed
-number of entries, and so encodes a word once instead of at each occurrence.
+its words one after another; and a change between letters and other characters ends one unless an
+apostrophe is near. Each worker keeps the ids of the words and of the stretches it has met, up to fixed
+numbers of entries, and so encodes a stretch once instead of at each occurrence.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import pairwise
 
 import numpy as np
 
-#: Words whose ids a worker keeps, and their greatest length in characters.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words and stretches whose ids a worker keeps in each of two generations, and their greatest length in characters.
+CACHE_WORDS, CACHE_STRETCHES, CACHE_CHARS = 200_000, 400_000, 64
+#: Stretches encoded as one text.
+JOINED = 2000
 
+#: Stretches of letters, and of other characters, in lower-cased Latin-1 text.
+_STRETCH = re.compile("[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -23,6 +30,38 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Kept:
+    """A dictionary of two generations: what hasn't been asked for since the older one was new is forgotten."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those that aren't known; the known ones are in ``new`` afterwards."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        asked = keys - self.new.keys()
+        again = asked & self.old.keys()
+        old = self.old
+        self.new.update({k: old[k] for k in again})
+        return asked - again
+
+    def forget_long(self, keys: set[str]) -> None:
+        for k in keys:
+            if len(k) > CACHE_CHARS:
+                del self.new[k]
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Texts to their ids as little-endian 32-bit integers."""
 
@@ -31,7 +70,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words, self.stretches = Kept(CACHE_WORDS), Kept(CACHE_STRETCHES)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -40,17 +79,37 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _learn(self, kept: Kept, fresh: set[str]) -> None:
+        listed = list(fresh)
+        found = self.tokenizer.encode_batch(listed, add_special_tokens=False)
+        kept.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(listed, found, strict=True))
+
+    def _learn_letters(self, kept: Kept, fresh: list[str]) -> None:
+        """Stretches of letters are one pre-token each, so many are encoded as one text and told apart by the pre-token's number."""
+        for i in range(0, len(fresh), JOINED):
+            listed = fresh[i : i + JOINED]
+            found = self.tokenizer.encode(" ".join(listed), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(listed) + 1))).tolist()
+            kept.new.update((w, ids[a:b]) for w, (a, b) in zip(listed, pairwise(cuts), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        fresh = list(set().union(*words) - self.known.keys())
-        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, found, strict=True)}
-        known = self.known
-        known.update(ids)
+        # The tokenizer lower-cases anyway. In Latin-1 that is str.lower, and a text in lower case has fewer different
+        # words; special tokens are found before, so texts that may hold one stay as they are.
+        plain = [t.lower() if "<|" not in t and _latin(t) else None for t in texts]
+        words = [(t if p is None else p).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        odd = set().union(*(w for w, p in zip(words, plain, strict=True) if p is None))
+        fresh = self.words.missing(set().union(*words))
+        cut = {w: [w] if w.isalpha() else _STRETCH.findall(w) for w in fresh - odd if "'" not in w}
+        parts = self.stretches.missing(set().union(*cut.values()))
+        letters = [w for w in parts if w.isalpha()]
+        self._learn_letters(self.stretches, letters)
+        self._learn(self.stretches, parts.difference(letters))
+        self._learn(self.words, fresh - cut.keys())
+        known = self.stretches.new
+        self.words.new.update((w, known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own])) for w, own in cut.items())
+        known = self.words.new
         out = [b"".join(map(known.__getitem__, text)) for text in words]
-        for w in fresh:
-            if len(w) > CACHE_CHARS:
-                del known[w]
+        self.words.forget_long(fresh)
+        self.stretches.forget_long(parts)
         return out
