@@ -1,9 +1,8 @@
-"""Token ids of whole texts, word by word.
+"""Token ids of whole texts, pre-token by pre-token.
 
-White space always ends a pre-token of the tokenizer used here, so the ids of a text are those of
-its words one after another; and a change between letters and other characters ends one unless an
-apostrophe is near. Each worker keeps the ids of the words and of the stretches it has met, up to fixed
-numbers of entries, and so encodes a stretch once instead of at each occurrence.
+The tokenizer used here works on pre-tokens, which never hold white space, so the ids of a text are those of
+its words, or of its pre-tokens, one after another. Each worker keeps the ids of the pre-tokens it
+has met, up to a fixed number, and so encodes one once instead of at each occurrence.
 """
 
 from __future__ import annotations
@@ -14,13 +13,14 @@ from itertools import pairwise
 
 import numpy as np
 
-#: Words and stretches whose ids a worker keeps in each of two generations, and their greatest length in characters.
-CACHE_WORDS, CACHE_STRETCHES, CACHE_CHARS = 200_000, 400_000, 64
-#: Stretches encoded as one text.
+#: Pre-tokens whose ids a worker keeps in each of two generations, and their greatest length in characters.
+CACHE, CACHE_CHARS = 400_000, 64
+#: Pre-tokens encoded as one text.
 JOINED = 2000
 
-#: Stretches of letters, and of other characters, in lower-cased Latin-1 text.
-_STRETCH = re.compile("[a-zªµºß-öø-ÿ]+|[^a-zªµºß-öø-ÿ]+")
+#: The tokenizer's own pre-tokens, for lower-cased Latin-1 text: letters and numbers are those of Unicode within it.
+_LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+_PRE_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}{_BLANK}]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -70,7 +70,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.stretches = Kept(CACHE_WORDS), Kept(CACHE_STRETCHES)
+        self.known = Kept(CACHE)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -79,37 +79,25 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _learn(self, kept: Kept, fresh: set[str]) -> None:
-        listed = list(fresh)
-        found = self.tokenizer.encode_batch(listed, add_special_tokens=False)
-        kept.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(listed, found, strict=True))
-
-    def _learn_letters(self, kept: Kept, fresh: list[str]) -> None:
+    def _learn(self, fresh: set[str]) -> None:
         """Stretches of letters are one pre-token each, so many are encoded as one text and told apart by the pre-token's number."""
-        for i in range(0, len(fresh), JOINED):
-            listed = fresh[i : i + JOINED]
+        letters = [w for w in fresh if w.isalpha() and _latin(w) and w == w.lower()]
+        for i in range(0, len(letters), JOINED):
+            listed = letters[i : i + JOINED]
             found = self.tokenizer.encode(" ".join(listed), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(listed) + 1))).tolist()
-            kept.new.update((w, ids[a:b]) for w, (a, b) in zip(listed, pairwise(cuts), strict=True))
+            self.known.new.update((w, ids[a:b]) for w, (a, b) in zip(listed, pairwise(cuts), strict=True))
+        rest = list(fresh.difference(letters))
+        found = self.tokenizer.encode_batch(rest, add_special_tokens=False)
+        self.known.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # The tokenizer lower-cases anyway. In Latin-1 that is str.lower, and a text in lower case has fewer different
-        # words; special tokens are found before, so texts that may hold one stay as they are.
-        plain = [t.lower() if "<|" not in t and _latin(t) else None for t in texts]
-        words = [(t if p is None else p).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        odd = set().union(*(w for w, p in zip(words, plain, strict=True) if p is None))
-        fresh = self.words.missing(set().union(*words))
-        cut = {w: [w] if w.isalpha() else _STRETCH.findall(w) for w in fresh - odd if "'" not in w}
-        parts = self.stretches.missing(set().union(*cut.values()))
-        letters = [w for w in parts if w.isalpha()]
-        self._learn_letters(self.stretches, letters)
-        self._learn(self.stretches, parts.difference(letters))
-        self._learn(self.words, fresh - cut.keys())
-        known = self.stretches.new
-        self.words.new.update((w, known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own])) for w, own in cut.items())
-        known = self.words.new
-        out = [b"".join(map(known.__getitem__, text)) for text in words]
-        self.words.forget_long(fresh)
-        self.stretches.forget_long(parts)
+        # Special tokens are found before anything else, so texts that may hold one are left to the tokenizer, word by word.
+        parts = [_PRE_TOKEN.findall(t.lower()) if "<|" not in t and _latin(t) else t.replace("\n", " ").split(" ") for t in texts]
+        fresh = self.known.missing(set().union(*parts))
+        self._learn(fresh)
+        known = self.known.new
+        out = [b"".join(map(known.__getitem__, own)) for own in parts]
+        self.known.forget_long(fresh)
         return out
