@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, mixing, packing, sharding
+from quarry.llm import exact_dedup, mixing, packing, quality_rules, secrets, sharding
 from quarry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    span = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda x: F.struct(x["kinds"].alias("kind"), F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string")).alias("span")))
+    base = [rule.kind for rule in secrets.BASE]
+    found = found.withColumn("all", span)
+    listed = F.transform(F.filter("all", lambda x: x["kind"].isin(base)), lambda x: x["span"])
+    counts = [F.size(F.filter("kinds", lambda k: k == F.lit(name))).cast("long").alias(f"n_{name}") for name in base]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(listed, ","), 256).alias("base_sha256"), F.array_join(F.transform("all", lambda x: x["span"]), ",").alias("spans"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "low", "high")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), n_shards=40)
 
