@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, html_text, jaccard_join, mixing, packing, quality_classifier, quality_rules, secrets, sharding
+from quarry.llm import exact_dedup, html_text, jaccard_join, mixing, packing, quality_classifier, quality_rules, secrets, sharding, token_counts
 from quarry.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.texts(read(spark, sf_dir, "pages"))
 
@@ -60,5 +64,20 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+#: Lower-cases A-Z only.
+_NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Words of a text, and their lower-cased n-grams as one string each.
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES = {
+    "op10_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, {_NORMAL} AS norm FROM documents)
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+        FROM t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
