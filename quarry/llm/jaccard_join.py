@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from quarry.llm.tokens import Kept
 #: Growth of the size bands; elements below which a half is light; share of halves added for the light ones.
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
 #: Members of a group that one task compares; nearest candidates of a member in the first round, and their growth.
-SPLIT, NEAREST, MORE = 8000, 8, 8
+SPLIT, NEAREST, MORE = 8000, 4, 8
 #: Ids of documents to look up that are broadcast at most; beyond, the lookup is a shuffle.
 SMALL = 500_000
 CACHE = 300_000
@@ -266,15 +267,25 @@ def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).drop("root_u", "root_v")
 
 
+def distinct_groups(members: DataFrame) -> DataFrame:
+    """sig, c, size of the groups of three or more, one of those with the same members: the others would repeat its comparisons.
+
+    Groups of two are settled by their leader. Members are told by a sum of hashes, over 64 bits and the size.
+    """
+    known = members.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("print")).where("size > 2")
+    one = known.groupBy("size", "print").agg(F.min("sig").alias("sig"))
+    return stored(members.select("sig", "c").join(stored(one.select("sig", "size"), "distinct-groups"), "sig"), "group-members")
+
+
 def open_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """u, v, shared and whether a member had more candidates: in groups of several components, each member's ``nearest`` ones elsewhere.
+    """u, v and whether there were more: in groups of several components, each member's ``nearest`` candidates elsewhere, and of those the ``nearest`` between any two components.
 
     A group beyond SPLIT members is dealt into blocks, and pairs of blocks are compared by different tasks.
     """
-    rows = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root", "leader")
+    rows = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     rows = stored(rows, "labelled-members")
-    several = rows.groupBy("sig").agg(F.count("*").alias("size"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("size > 2 AND a != b")
-    rows = rows.join(stored(several.select("sig", "size"), "open-groups"), "sig").join(info.select("c", "n", "bits"), "c")
+    several = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")
+    rows = rows.join(stored(several.select("sig"), "open-groups"), "sig").join(info.select("c", "n", "bits"), "c")
     rows = rows.withColumn("of", F.ceil(F.col("size") / SPLIT).cast("long")).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("of")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp", "n", "bits")
@@ -285,7 +296,7 @@ def open_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, percent:
         maps = table["bits"].to_pylist()
         maps = _folded(maps, min(map(len, maps)))
         split = table["i"][0] != table["j"][0]
-        found: dict[tuple[int, int], bool] = {}
+        found: list[tuple[int, int, int, int, int, bool]] = []
         for first in range(0, len(c), 64):
             block = slice(first, first + 64)
             far = np.zeros((len(c[block]), len(c)), np.int64)
@@ -299,12 +310,19 @@ def open_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, percent:
                 cut = len(cols) > nearest
                 if cut:
                     cols = cols[np.lexsort((c[cols], far[row, cols]))[:nearest]]
-                for x in c[cols].tolist():
-                    pair = (min(int(c[first + row]), x), max(int(c[first + row]), x))
-                    found[pair] = found.get(pair, False) or cut
-        if not found:
+                for col in cols.tolist():
+                    a, b = sorted(((int(comp[first + row]), int(c[first + row])), (int(comp[col]), int(c[col]))))
+                    found.append((a[0], b[0], int(far[row, col]), a[1], b[1], cut))
+        # Of two components, the nearest pairs only; the others wait for a later round.
+        out: dict[tuple[int, int], bool] = {}
+        for _, own in groupby(sorted(set(found)), lambda x: x[:2]):
+            own = list(own)
+            for _, _, _, x, y, cut in own[:nearest]:
+                pair = min(x, y), max(x, y)
+                out[pair] = out.get(pair, False) or cut or len(own) > nearest
+        if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64()), pa.array(list(found.values()))], names=["u", "v", "cut"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64()), pa.array(list(out.values()))], names=["u", "v", "cut"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -346,6 +364,7 @@ def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame,
     if not left.isEmpty():
         links = links.unionByName(stored(verified(left, known, percent), "links"))
         labels = stored(components(links), "labels")
+    members = distinct_groups(members)
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     nearest = NEAREST
     while True:
