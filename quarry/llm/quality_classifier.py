@@ -3,8 +3,8 @@
 A document's features are indicators of its n-grams, hashed: words and word pairs, n-grams of
 character shapes (letter, capital, digit, each punctuation mark), and runs of one word repeated. Each
 indicator is scaled by the log ratio of its counts in the two classes, rows are brought to unit length, and a
-linear hinge-loss model is fitted by dual coordinate descent. A quarter of the sample gives the logistic curve
-that turns margins into probabilities; the final fit uses all of it.
+linear hinge-loss model is fitted by dual coordinate descent. Fits that each leave out a fold give every row of
+the sample a margin, and those give the logistic curve that turns margins into probabilities.
 
 The fit takes at most ``SAMPLE`` labelled rows, those with the least hash of the id: a bound on the driver's memory.
 Scoring covers every document and its whole text; the model it sends round has a fixed size.
@@ -31,6 +31,8 @@ from quarry.llm.tokens import Kept
 SAMPLE = 8000
 #: Hashed features; passes over the sample; the penalty; the count added to each feature in the log ratios.
 SIZE, PASSES, PENALTY, SMOOTH = 1 << 18, 12, 1.0, 1.0
+#: Folds for the curve.
+FOLDS = 4
 #: Words a worker keeps the hashes of; the longest run of one word that has a feature; the probability from which a row counts as good.
 CACHE, RUN, GOOD = 400_000, 8, 0.3
 
@@ -144,15 +146,18 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Model:
-    """``fold``: true for the rows that give the curve."""
+    """``fold``: a row's margin for the curve comes from a fit without the rows of its fold."""
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
-    model = _descend(rows, y)
-    part = [x for x, out in zip(rows, fold, strict=True) if not out], y[~fold]
-    rest = [x for x, out in zip(rows, fold, strict=True) if out], y[fold]
-    if all(len(set(own.tolist())) == 2 for _, own in (part, rest)):
-        model.slope, model.offset = _curve(_descend(*part).margin(rest[0]), rest[1])
+    model, margins = _descend(rows, y), np.full(len(y), np.nan)
+    for k in range(FOLDS):
+        inside, out = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(out) and len(set(y[inside].tolist())) == 2:
+            margins[out] = _descend([rows[i] for i in inside], y[inside]).margin([rows[i] for i in out])
+    known = ~np.isnan(margins)
+    if len(set(y[known].tolist())) == 2:
+        model.slope, model.offset = _curve(margins[known], y[known])
     return model
 
 
@@ -174,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     column = got["x"].chunk(0) if got.num_rows else None
     x = [column[int(i)].values.to_numpy() for i in order] if column is not None else []
     ids = got["doc_id"].to_numpy()[order]
-    fold = np.array([zlib.crc32(str(i).encode()) // 5 % 4 == 0 for i in ids], bool)
+    fold = np.array([zlib.crc32(str(i).encode()) // 5 % FOLDS for i in ids], np.int64)
     return fit(x, got["label"].to_numpy()[order], fold)
 
 
