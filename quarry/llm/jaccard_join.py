@@ -41,6 +41,8 @@ from quarry.llm.tokens import Kept
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
 #: Members of a group that one task compares; nearest candidates of a member in the first round, and their growth.
 SPLIT, NEAREST, MORE = 8000, 4, 8
+#: Members up to which a group just lists its pairs: the same few pairs come from many groups, and are tried once.
+LISTED = 16
 #: Ids of documents to look up that are broadcast at most; beyond, the lookup is a shuffle.
 SMALL = 500_000
 CACHE = 300_000
@@ -146,7 +148,7 @@ def _allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def records(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, c (the class: a hash of the set; null for an empty one), bits, and the signatures if the task hasn't had the class."""
+    """doc_id, n, c (the class: a hash of the set; null for an empty one), and if the task hasn't had the class its bitmap and signatures."""
     seen: set[int] = set()
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -277,15 +279,44 @@ def distinct_groups(members: DataFrame) -> DataFrame:
     return stored(members.select("sig", "c").join(stored(one.select("sig", "size"), "distinct-groups"), "sig"), "group-members")
 
 
-def open_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """u, v and whether there were more: in groups of several components, each member's ``nearest`` candidates elsewhere, and of those the ``nearest`` between any two components.
-
-    A group beyond SPLIT members is dealt into blocks, and pairs of blocks are compared by different tasks.
-    """
+def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, c, comp and size of the groups that are in several components."""
     rows = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     rows = stored(rows, "labelled-members")
     several = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")
-    rows = rows.join(stored(several.select("sig"), "open-groups"), "sig").join(info.select("c", "n", "bits"), "c")
+    return stored(rows.join(stored(several.select("sig"), "open"), "sig"), "open-groups")
+
+
+def listed_pairs(rows: DataFrame) -> DataFrame:
+    """u and v of all pairs across components in groups of at most LISTED members: fewer than LISTED a row, and narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((3, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([kept, np.stack([batch.column(x).to_numpy() for x in ("sig", "c", "comp")])], 1)
+            sig, c, comp = rows
+            first = kept.shape[1]
+            at, to = [], []
+            for gap in range(1, min(LISTED, rows.shape[1])):
+                a = np.flatnonzero((sig[:-gap] == sig[gap:]) & (comp[:-gap] != comp[gap:]))
+                a = a[a + gap >= first]  # pairs of rows from before have been sent
+                at.append(a)
+                to.append(a + gap)
+            if at and sum(map(len, at)):
+                pairs = np.unique(np.stack([c[np.concatenate(at)], c[np.concatenate(to)]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            kept = rows[:, -(LISTED - 1) :]
+
+    dealt = rows.where(F.col("size") <= LISTED).select("sig", "c", "comp").repartition("sig").sortWithinPartitions("sig", "c")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def open_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """u, v, whether there were more, and the group: each member's ``nearest`` candidates in other components, and of those the ``nearest`` between any two components.
+
+    A group beyond SPLIT members is dealt into blocks, and pairs of blocks are compared by different tasks.
+    """
+    rows = rows.where(F.col("size") > LISTED).join(info.select("c", "n", "bits"), "c")
     rows = rows.withColumn("of", F.ceil(F.col("size") / SPLIT).cast("long")).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("of")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
     rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp", "n", "bits")
@@ -322,7 +353,7 @@ def open_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, percent:
                 out[pair] = out.get(pair, False) or cut or len(own) > nearest
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64()), pa.array(list(out.values()))], names=["u", "v", "cut"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64()), pa.array(list(out.values()))], names=["u", "v", "cut"]).append_column("sig", pa.repeat(table["sig"][0], len(out)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -344,7 +375,7 @@ def open_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, percent:
             yield out
 
     dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "c")
-    return dealt.mapInArrow(run, "u long, v long, cut boolean").groupBy("u", "v").agg(F.max("cut").alias("cut"))
+    return dealt.mapInArrow(run, "u long, v long, cut boolean, sig long")
 
 
 def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -367,18 +398,25 @@ def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame,
     members = distinct_groups(members)
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     nearest = NEAREST
+    first = True
     while True:
-        pairs = stored(open_pairs(members, info, labels, percent, nearest), "pairs")
-        fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"), "fresh-pairs")
-        more = not pairs.where("cut").isEmpty()
+        rows = open_groups(members, labels)
+        pairs = stored(open_pairs(rows, info, percent, nearest), "pairs")
+        fresh = pairs.select("u", "v").distinct()
+        if first:
+            fresh = fresh.unionByName(listed_pairs(rows)).distinct()
+        fresh = stored(near(fresh.withColumn("shared", F.lit(1).cast("long")).join(tested, ["u", "v"], "left_anti"), info, percent), "fresh-pairs")
         if not fresh.isEmpty():
             own = sets(docs, info, fresh.select(F.col("u").alias("c")).unionByName(fresh.select(F.col("v").alias("c"))), words)
             links = links.unionByName(stored(verified(fresh, own, percent), "links"))
             labels = stored(components(links), "labels")
             tested = tested.unionByName(fresh.select("u", "v"))
-        if not more:
+        # Groups that have sent all their candidates are done.
+        more = pairs.where("cut").select("sig").distinct()
+        if more.isEmpty():
             return found, labels
-        nearest *= MORE
+        members = stored(members.join(more, "sig", "left_semi"), "group-members")
+        nearest, first = nearest * MORE, False
 
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
