@@ -78,6 +78,30 @@ def rank(ids: DataFrame, value: int) -> Column:
     return ids.where(F.col("id") <= value).agg(F.count_distinct("id").alias("rank"))
 
 
+def contains_range(ids: DataFrame, low: int, high: int) -> DataFrame:
+    """One row: whether all ids from low to high - 1 are there."""
+    return ids.where(F.col("id").between(low, high - 1)).agg((F.count_distinct("id") == max(high - low, 0)).alias("contains"))
+
+
+def remove_range(ids: DataFrame, low: int, high: int) -> DataFrame:
+    return ids.where(~F.col("id").between(low, high - 1))
+
+
+def add_range(ids: DataFrame, low: int, high: int) -> DataFrame:
+    return ids.select("id").unionByName(ids.sparkSession.range(low, high)).distinct()
+
+
+def index_of(ids: DataFrame, value: int) -> DataFrame:
+    """One row: a member's place in order from 0, or -1."""
+    upto = ids.where(F.col("id") <= value).select("id").distinct()
+    return upto.agg(F.when(F.max("id") == value, F.count("*") - 1).otherwise(F.lit(-1)).alias("place"))
+
+
+def select_at(ids: DataFrame, place: int) -> DataFrame:
+    """The member at a place in order from 0."""
+    return page(ids, place, 1)
+
+
 def page(ids: DataFrame, offset: int, limit: int) -> DataFrame:
     """A page of the ids in order."""
     return ids.select("id").distinct().orderBy("id").offset(offset).limit(limit)

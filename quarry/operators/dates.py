@@ -53,13 +53,24 @@ def within(value: Column, low: int, high: int) -> Column:
     return at_least(value, low) & at_most(value, high)
 
 
+def _plain(column: str, low: int | None = None, high: int | None = None) -> Column:
+    """A wider condition on the date itself, which reaches the scan: days that the kept bits change pass in any case."""
+    bounds = ((low, F.col(column).__ge__), (high, F.col(column).__le__))
+    inside = [compare(F.date_from_unix_date(F.lit(x))) for x, compare in bounds if x is not None and 0 <= x < OPEN]
+    if not inside:
+        return F.lit(True)
+    first, last = F.date_from_unix_date(F.lit(0)), F.date_from_unix_date(F.lit(OPEN))
+    held = inside[0] if len(inside) == 1 else inside[0] & inside[1]
+    return held | (F.col(column) < first) | (F.col(column) >= last)
+
+
 def valid_in(low: int, high: int, begin: str = "begin_date", end: str = "end_date") -> Column:
     """The closed interval overlaps [low, high]; neither is checked to be in order."""
-    return at_most(day(begin), high) & at_least(end_day(end), low)
+    return _plain(begin, high=high) & at_most(day(begin), high) & (F.col(end).isNull() | _plain(end, low=low)) & at_least(end_day(end), low)
 
 
 def created_in(low: int, high: int, begin: str = "begin_date", end: str = "end_date") -> Column:
-    return within(day(begin), low, high)
+    return _plain(begin, low, high) & within(day(begin), low, high)
 
 
 def interval_join(rows: DataFrame, ranges: DataFrame, key: str, width: int = 64) -> DataFrame:

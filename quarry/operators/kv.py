@@ -33,6 +33,11 @@ def get(log: DataFrame, *keys) -> DataFrame:
     return asked.join(state, "key", "left")
 
 
+def scan(log: DataFrame, low, high) -> DataFrame:
+    """key and value of the keys from low to high; the filter reaches the log's scan."""
+    return latest(log.where(F.col("key").between(low, high)))
+
+
 def merge_union(log: DataFrame) -> DataFrame:
     """key and the sorted set of all values put; a deletion has no meaning for sets."""
     if not log.where("op = 'delete'").isEmpty():

@@ -86,6 +86,20 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return numbered(terms, "term", "idx")
 
 
+def document_vectors(docs: DataFrame) -> DataFrame:
+    """doc_id and vector: its weights above 0 as (idx, w), sorted by the vocabulary's index."""
+    placed = weights(docs).join(vocabulary(docs), "term")
+    return placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("vector"))
+
+
+def query_vector(docs: DataFrame, query: str) -> dict[str, float]:
+    """tf * idf of a query's terms: tf over all its tokens, terms that no document or every document has are left out."""
+    asked_for = T.query_stems(query)
+    tf = Counter(asked_for)
+    known = _idf_of(_asked(docs, tf), docs.count()) if tf else {}
+    return {t: c / len(asked_for) * known[t] for t, c in tf.items() if known.get(t, 0) > 0}
+
+
 def norms(docs: DataFrame) -> DataFrame:
     """doc_id and norm of the documents with a weight."""
     return weights(docs).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -94,12 +108,7 @@ def norms(docs: DataFrame) -> DataFrame:
 def vsm_search(docs: DataFrame, query: str, top: int | None = None) -> DataFrame:
     """doc_id and score, the best first: cosine of the tf-idf vectors, only above 0."""
     empty = docs.select("doc_id", F.lit(0.0).alias("score")).where("false")
-    asked_for = T.query_stems(query)
-    if not asked_for:
-        return empty
-    tf = Counter(asked_for)
-    known = _idf_of(_asked(docs, tf), docs.count())
-    vector = {t: c / len(asked_for) * known[t] for t, c in tf.items() if known.get(t, 0) > 0}
+    vector = query_vector(docs, query)
     if not vector:
         return empty
     length = sum(x * x for x in vector.values()) ** 0.5

@@ -80,6 +80,11 @@ def kv_get(spark, sf):
     return kv.get(S.change_log(spark, sf), 1, 2, 3, 5, 8, -1)
 
 
+@query(f"WITH {STATE} SELECT key, value FROM state WHERE op = 'put' AND key BETWEEN 10 AND 60")
+def kv_scan(spark, sf):
+    return kv.scan(S.change_log(spark, sf), 10, 60)
+
+
 @query("SELECT user_id AS key, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS value FROM events GROUP BY user_id")
 def kv_merge_union(spark, sf):
     log = S.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.lit("put").alias("op"), F.col("event_type").alias("value"))
@@ -370,6 +375,12 @@ def vsm_vocabulary(spark, sf):
     return rank.vocabulary(S.documents(spark, sf))
 
 
+@query(f"WITH {TF}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM idf) SELECT doc_id, idx, round(w, 6) AS w FROM w JOIN v USING (term)")
+def vsm_document_vectors(spark, sf):
+    rows = rank.document_vectors(S.documents(spark, sf)).select("doc_id", F.explode("vector").alias("e"))
+    return rows.select("doc_id", "e.idx", F.round("e.w", 6).alias("w"))
+
+
 @query(f"WITH {TF} SELECT doc_id, round(sqrt(sum(w * w)), 6) AS norm FROM w GROUP BY doc_id")
 def vsm_doc_norms(spark, sf):
     return rank.norms(S.documents(spark, sf)).select("doc_id", F.round("norm", 6).alias("norm"))
@@ -502,6 +513,17 @@ def bitmap_order(spark, sf):
     return ids.agg(F.min("id").alias("minimum"), F.max("id").alias("maximum"), F.count("*").alias("cardinality"), F.count_if(F.col("id") <= 500).alias("rank_500"))
 
 
+@query(f"WITH {SETS} SELECT (SELECT count(*) FROM good WHERE id BETWEEN 100 AND 102) = 3 AS contains, coalesce((SELECT (SELECT count(*) FROM good g WHERE g.id < h.id) FROM good h WHERE id = 101), -1) AS place, (SELECT id FROM good ORDER BY id LIMIT 1 OFFSET 7) AS seventh")
+def bitmap_lookup(spark, sf):
+    ids = S.labelled(spark, sf, "quality")
+    return bitmap.contains_range(ids, 100, 103).join(bitmap.index_of(ids, 101)).join(bitmap.select_at(ids, 7).withColumnRenamed("id", "seventh"))  # one row each
+
+
+@query(f"WITH {SETS} SELECT id FROM good WHERE NOT id BETWEEN 200 AND 299 UNION SELECT i FROM range(250, 260) t(i)")
+def set_ranges(spark, sf):
+    return bitmap.add_range(bitmap.remove_range(S.labelled(spark, sf, "quality"), 200, 300), 250, 260)
+
+
 @query(f"WITH {SETS} SELECT id FROM good ORDER BY id LIMIT 20 OFFSET 50")
 def bitmap_page(spark, sf):
     return bitmap.page(S.labelled(spark, sf, "quality"), 50, 20)

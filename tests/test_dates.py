@@ -51,6 +51,23 @@ def test_dated_errors(spark, formula):
         search.dated(dated(spark, [("a", "2024-01-01", None)]), formula)
 
 
+def test_predicates_keep_21_bits(spark):
+    days = [dates.day_of(x) for x in ("1969-12-31", "1970-01-01", "2000-06-15", "2024-01-01", "7711-10-21", "7711-10-22", "7711-10-24", "9999-12-31", "0001-01-01")]
+    rows = spark.createDataFrame([(i, b, e) for i, b in enumerate(days) for e in [*days, None]], "i long, b long, e long").selectExpr("b", "e", "date_from_unix_date(int(b)) AS begin_date", "date_from_unix_date(int(e)) AS end_date")
+    kept = lambda x: x % dates.RANGE
+    for low, high in ((0, 20000), (11000, 12000), (835000, 836000), (-1, 5), (dates.OPEN - 1, dates.OPEN + 3), (5, 2)):
+        made = {(r.b, r.e) for r in rows.where(dates.created_in(low, high)).collect()}
+        assert made == {(b, e) for b in days for e in [*days, None] if kept(low) <= kept(b) <= kept(high)}
+        valid = {(r.b, r.e) for r in rows.where(dates.valid_in(low, high)).collect()}
+        assert valid == {(b, e) for b in days for e in [*days, None] if kept(b) <= kept(high) and (dates.OPEN if e is None else kept(e)) >= kept(low)}
+
+
+def test_dates_reach_the_scan(spark, tmp_path):
+    dated(spark, [("a", "2024-01-01", None)]).write.parquet(str(tmp_path / "d"))
+    plan = spark.read.parquet(str(tmp_path / "d")).where(dates.created_in(10, 20))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(begin_date" in plan.split("PushedFilters")[1]
+
+
 def test_interval_join_finds_each_overlap_once(spark):
     rng = random.Random(3)
     rows = [(i, a, a + rng.choice([-1, 0, 3, 100, 5000])) for i in range(60) for a in [rng.randrange(300)]] + [(60, 10, dates.OPEN)]

@@ -53,6 +53,14 @@ def test_cosines(docs_of):
     assert rows(rank.vsm_search(docs_of(["cat dog bird", "fish"]), "cat", top=1))[0][0] == 0
 
 
+def test_vectors(docs_of):
+    docs = docs_of(["cat dog", "bird fish", "cat"])
+    vectors = {r.doc_id: [(e.idx, e.w) for e in r.vector] for r in rank.document_vectors(docs).collect()}
+    assert vectors[0] == [(1, pytest.approx(math.log(1.5) / 2)), (2, pytest.approx(math.log(3) / 2))]
+    assert rank.query_vector(docs, "dog zebra the dog") == {"dog": pytest.approx(2 / 3 * math.log(3))}
+    assert rank.query_vector(docs, "the") == {}
+
+
 def test_vocabulary_and_lengths(docs_of):
     docs = docs_of(["dog cat", "ant", None, "the"])
     assert sorted((r.idx, r.term) for r in rank.vocabulary(docs).collect()) == [(0, "ant"), (1, "cat"), (2, "dog")]

@@ -90,7 +90,10 @@ def test_set_algebra(spark):
     assert not bitmap.counts(ids(spark, [9]), b).first().intersect
     assert bitmap.rank(a, 2).first()["rank"] == 3
     assert {r.id: r.place for r in bitmap.ranked(a).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 40000: 4}
-    assert listed(bitmap.page(a, 1, 2)) == [1, 2]
+    assert listed(bitmap.page(a, 1, 2)) == [1, 2] and listed(bitmap.select_at(a, 4)) == [40000]
+    assert bitmap.contains_range(a, 0, 4).first().contains and not bitmap.contains_range(a, 2, 5).first().contains and bitmap.contains_range(a, 7, 7).first().contains
+    assert [bitmap.index_of(a, v).first().place for v in (3, 40000, 5, -1)] == [3, 4, -1, -1]
+    assert listed(bitmap.add_range(bitmap.remove_range(a, 1, 3), 8, 10)) == [0, 3, 8, 9, 40000]
 
 
 def test_bitmaps_count_every_id(spark):
