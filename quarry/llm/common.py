@@ -4,20 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.session import ship, stored
 
-__all__ = ["BATCH_BYTES", "WORD", "map_batches", "read", "stored", "text_batches", "with_text"]
+__all__ = ["BATCH_BYTES", "WORD", "Kept", "map_batches", "read", "stored", "text_batches", "with_text", "word_hashes", "worker_cache"]
 
 #: A word in the contracts' sense: a run of anything but ASCII white space. ``bytes.split()`` splits by the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handed to one call of a per-batch function, so that memory doesn't depend on how many rows Arrow puts in a batch.
 BATCH_BYTES = 4 << 20
+#: Words whose hashes a worker keeps in each of two generations, and the greatest length in bytes of one.
+WORDS, WORD_BYTES = 200_000, 64
+
+_cache: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What this worker keeps from task to task under a key. One thing at a time, as workers outlive operators: another key's goes."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]
+
+
+class Kept:
+    """A dictionary of two generations: what hasn't been asked for since the older one was new is forgotten."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those that aren't known; the known ones are in ``new`` afterwards."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        asked = keys - self.new.keys()
+        again = asked & self.old.keys()
+        old = self.old
+        self.new.update({k: old[k] for k in again})
+        return asked - again
+
+    def forget_long(self, keys: set, longest: int) -> None:
+        for k in keys:
+            if len(k) > longest:
+                del self.new[k]
+
+
+def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text."""
+    kept = worker_cache("words", lambda: Kept(WORDS))
+    fresh = kept.missing(set().union(*texts))
+    kept.new.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
+    known = kept.new
+    out = [np.fromiter(map(known.__getitem__, own), np.uint64, len(own)) for own in texts]
+    kept.forget_long(fresh, WORD_BYTES)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

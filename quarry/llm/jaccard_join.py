@@ -33,9 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, stored, with_text
+from quarry.llm.common import map_batches, stored, with_text, word_hashes
 from quarry.llm.components import components
-from quarry.llm.tokens import Kept
 
 #: Growth of the size bands; elements below which a half is light; share of halves added for the light ones.
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
@@ -45,10 +44,8 @@ SPLIT, NEAREST, MORE = 8000, 4, 8
 LISTED = 16
 #: Ids of documents to look up that are broadcast at most; beyond, the lookup is a shuffle.
 SMALL = 500_000
-CACHE = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_known = Kept(CACHE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,12 +55,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct hashed n-grams of each text, lower-cased in A-Z."""
-    split = [t.encode("utf-8", "replace").lower().split() for t in texts]
-    fresh = _known.missing(set().union(*split))
-    _known.new.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
-    known, out = _known.new, []
-    for own in split:
-        ids = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+    out = []
+    for ids in word_hashes([t.encode("utf-8", "replace").lower().split() for t in texts]):
         size = min(words, len(ids))
         n = len(ids) - size + 1 if size else 0
         h = np.full(n, size, np.uint64)
@@ -71,8 +64,6 @@ def shingles(texts: list[str], words: int) -> list[np.ndarray]:
             h = (h ^ ids[i : i + n]) * _ODD
             h ^= h >> np.uint64(32)
         out.append(np.unique(_mix(h)))
-    for w in [w for w in fresh if len(w) > 64]:
-        del known[w]
     return out
 
 

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, with_text
-from quarry.llm.tokens import Kept
+from quarry.llm.common import map_batches, with_text, word_hashes
 
 #: Labelled rows that a fit takes at most.
 SAMPLE = 8000
@@ -33,11 +32,10 @@ SAMPLE = 8000
 SIZE, PASSES, PENALTY, SMOOTH = 1 << 18, 12, 1.0, 1.0
 #: Folds for the curve.
 FOLDS = 4
-#: Words a worker keeps the hashes of; the longest run of one word that has a feature; the probability from which a row counts as good.
-CACHE, RUN, GOOD = 400_000, 8, 0.3
+#: The longest run of one word that has a feature; the probability from which a row counts as good.
+RUN, GOOD = 8, 0.3
 
 _MARKS = ".,;:!?'\"-()#*$%&|<>/_@"
-_known = Kept(CACHE)
 
 
 def _shapes() -> np.ndarray:
@@ -62,12 +60,8 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 def features(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct features of each text."""
-    words = [t.encode("utf-8", "replace").lower().split() for t in texts]
-    fresh = _known.missing(set().union(*words))
-    _known.new.update((w, zlib.crc32(w)) for w in fresh)
-    known, out = _known.new, []
-    for text, own in zip(texts, words, strict=True):
-        ids = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+    out = []
+    for text, ids in zip(texts, word_hashes([t.encode("utf-8", "replace").lower().split() for t in texts]), strict=True):
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         shape = _SHAPES[np.minimum(points, 0x24F)]
         four = np.unique(((shape[:-3] << 15) | (shape[1:-2] << 10) | (shape[2:-1] << 5) | shape[3:]) if len(shape) > 3 else np.zeros(0, np.uint32))
@@ -82,8 +76,6 @@ def features(texts: list[str]) -> list[np.ndarray]:
             same = same[1:] & same[:-1] if len(same) > 1 else np.zeros(0, bool)
         parts = [_mix(ids, 1), _mix(ids[1:] * np.uint64(31) + ids[:-1], 2), _mix(four, 3), _mix(three, 4), _mix(two, 5), _mix(np.array(runs, np.uint64), 6)]
         out.append(np.unique(np.concatenate(parts)).astype(np.int32))
-    for w in [w for w in fresh if len(w) > 64]:
-        del known[w]
     return out
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_batches, with_text
+from quarry.llm.common import map_batches, with_text, worker_cache
 
 #: Strings that an expression's finite part may stand for before it is cut.
 STRINGS = 64
@@ -166,16 +166,15 @@ class Index:
         return out
 
 
-_tables: dict[frozenset, np.ndarray] = {}
-
-
 def _table(wanted: frozenset) -> np.ndarray:
-    if wanted not in _tables:
+    """Which of all trigrams are wanted."""
+
+    def make() -> np.ndarray:
         table = np.zeros(1 << 24, bool)
         table[[int.from_bytes(g, "big") for g in wanted]] = True
-        _tables.clear()
-        _tables[wanted] = table
-    return _tables[wanted]
+        return table
+
+    return worker_cache(("trigrams", wanted), make)
 
 
 def _positions(text: bytes, offsets: list[int]) -> dict[int, int]:

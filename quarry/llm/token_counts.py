@@ -18,13 +18,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import map_batches, with_text
-from quarry.llm.tokens import Kept
+from quarry.llm.common import Kept, map_batches, with_text, worker_cache
 
 #: What stands for a space; how far below the least score an unknown character is.
 SPACE, BELOW = "▁", 10.0
 #: Words whose counts a worker keeps in each of two generations, and their greatest length.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 300_000, 64
 
 
 def default_vocabulary() -> tuple[tuple[str, float], ...]:
@@ -99,7 +98,7 @@ class Counter:
         self.known.new.update((w, self.count(w)) for w in fresh)
         known = self.known.new
         out = [sum(map(known.__getitem__, own)) if t else 0 for own, t in zip(words, texts, strict=True)]
-        self.known.forget_long({w for w in fresh if len(w) > CACHE_CHARS})
+        self.known.forget_long(fresh, CACHE_CHARS)
         return out
 
 
@@ -113,9 +112,6 @@ def _runs(text: str) -> list[str]:
     return [*out, text[first:]]
 
 
-_counters: dict[int, Counter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: tuple[tuple[str, float], ...] | None = None) -> DataFrame:
     """doc_id, n_tokens and n_chars of every document."""
     vocabulary = vocabulary or default_vocabulary()
@@ -123,10 +119,8 @@ def token_counts(docs: DataFrame, vocabulary: tuple[tuple[str, float], ...] | No
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a tokenizer's vocabulary, the same at every size
 
     def run(batch: pa.RecordBatch) -> dict:
-        if name not in _counters:
-            _counters.clear()
-            _counters[name] = Counter(shared.value)
+        counter = worker_cache(("counter", name), lambda: Counter(shared.value))
         texts = batch.column("text").to_pylist()
-        return {"doc_id": batch.column("doc_id"), "n_tokens": _counters[name].counts(texts), "n_chars": [len(t) for t in texts]}
+        return {"doc_id": batch.column("doc_id"), "n_tokens": counter.counts(texts), "n_chars": [len(t) for t in texts]}
 
     return map_batches(with_text(docs, "doc_id"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_chars long")

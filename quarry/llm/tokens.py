@@ -13,15 +13,16 @@ from itertools import pairwise
 
 import numpy as np
 
+from quarry.llm.common import Kept, worker_cache
+
 #: Pre-tokens whose ids a worker keeps in each of two generations, and their greatest length in characters.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 300_000, 64
 #: Pre-tokens encoded as one text.
 JOINED = 2000
 
 #: The tokenizer's own pre-tokens, for lower-cased Latin-1 text: letters and numbers are those of Unicode within it.
 _LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
 _PRE_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}{_BLANK}]+")
-_encoders: dict[str, WordEncoder] = {}
 
 
 def default_path() -> str:
@@ -30,28 +31,6 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Kept:
-    """A dictionary of two generations: what hasn't been asked for since the older one was new is forgotten."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Those that aren't known; the known ones are in ``new`` afterwards."""
-        if len(self.new) > self.limit:
-            self.new, self.old = {}, self.new
-        asked = keys - self.new.keys()
-        again = asked & self.old.keys()
-        old = self.old
-        self.new.update({k: old[k] for k in again})
-        return asked - again
-
-    def forget_long(self, keys: set[str]) -> None:
-        for k in keys:
-            if len(k) > CACHE_CHARS:
-                del self.new[k]
-
-
 def _latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -75,9 +54,7 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         """This worker's encoder, kept from task to task."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        return worker_cache(("encoder", path), lambda: cls(path))
 
     def _learn(self, fresh: set[str]) -> None:
         """Stretches of letters are one pre-token each, so many are encoded as one text and told apart by the pre-token's number."""
@@ -99,5 +76,5 @@ class WordEncoder:
         self._learn(fresh)
         known = self.known.new
         out = [b"".join(map(known.__getitem__, own)) for own in parts]
-        self.known.forget_long(fresh)
+        self.known.forget_long(fresh, CACHE_CHARS)
         return out
