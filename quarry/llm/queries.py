@@ -67,9 +67,6 @@ def queries() -> dict[str, Query]:
 #: Lower-cases A-Z only.
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Words of a text, and their lower-cased n-grams as one string each.
-_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
-
 ORACLES = {
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_NORMAL} AS norm FROM documents)

@@ -14,7 +14,6 @@ empty string; repeated rows are reported each; an empty table gives no rows; oth
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 from itertools import pairwise
