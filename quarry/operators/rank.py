@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.search import numbered
+from quarry.session import stored
 
 #: Decimals of a score; sums in another order differ beyond them.
 DIGITS = 6
@@ -67,7 +68,7 @@ def tfidf_search(docs: DataFrame, query: str, top: int | None = None) -> DataFra
     empty = docs.select("doc_id", F.lit(0.0).alias("score")).where("false")
     if not wanted:
         return empty
-    asked = _asked(docs, wanted)
+    asked = stored(_asked(docs, wanted), "asked")  # the query's terms only, read twice
     value = {t: x * wanted[t] for t, x in _idf_of(asked, docs.count()).items() if x > 0}
     if not value:
         return empty

@@ -71,4 +71,11 @@ def stored(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the driver's JVM ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.session import shared_folder
+from quarry.session import forget_at_exit, shared_folder
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -41,4 +41,5 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    forget_at_exit(spark, path)
     return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
