@@ -68,6 +68,15 @@ def queries() -> dict[str, Query]:
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op2_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_NORMAL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+        x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+                  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(other) AS component_id, count(*) AS component_size FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.s""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_NORMAL} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
