@@ -1,4 +1,4 @@
-"""Queries over the reference's own operators, each with the SQL that gives the same rows."""
+"""Queries over the search and index operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
