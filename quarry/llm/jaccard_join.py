@@ -40,6 +40,8 @@ from quarry.llm.components import components
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
 #: Members of a group that one task compares; nearest candidates of a member in the first round, and their growth.
 SPLIT, NEAREST, MORE = 8000, 4, 8
+#: Rows of groups with one leader that share a task's bitmaps.
+SHARED = 50_000
 #: Members up to which a group just lists its pairs: the same few pairs come from many groups, and are tried once.
 LISTED = 16
 #: Ids of documents to look up that are broadcast at most; beyond, the lookup is a shuffle.
@@ -261,17 +263,17 @@ def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def distinct_groups(members: DataFrame) -> DataFrame:
-    """sig, c, size of the groups of three or more, one of those with the same members: the others would repeat its comparisons.
+    """sig, c, leader, size of the groups of three or more, one of those with the same members: the others would repeat its comparisons.
 
     Groups of two are settled by their leader. Members are told by a sum of hashes, over 64 bits and the size.
     """
     known = members.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("print")).where("size > 2")
     one = known.groupBy("size", "print").agg(F.min("sig").alias("sig"))
-    return stored(members.select("sig", "c").join(stored(one.select("sig", "size"), "distinct-groups"), "sig"), "group-members")
+    return stored(members.join(stored(one.select("sig", "size"), "distinct-groups"), "sig"), "group-members")
 
 
 def open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, c, comp and size of the groups that are in several components."""
+    """sig, c, leader, comp and size of the groups that are in several components."""
     rows = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     rows = stored(rows, "labelled-members")
     several = rows.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b")
@@ -305,17 +307,26 @@ def listed_pairs(rows: DataFrame) -> DataFrame:
 def open_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: int) -> DataFrame:
     """u, v, whether there were more, and the group: each member's ``nearest`` candidates in other components, and of those the ``nearest`` between any two components.
 
-    A group beyond SPLIT members is dealt into blocks, and pairs of blocks are compared by different tasks.
+    A group beyond SPLIT members is dealt into blocks, and pairs of blocks are compared by different tasks. Groups with
+    one leader mostly have the same members, so they go to the same task, up to SHARED rows, and with them one
+    bitmap for each member instead of one for each group.
     """
-    rows = rows.where(F.col("size") > LISTED).join(info.select("c", "n", "bits"), "c")
+    rows = rows.where(F.col("size") > LISTED)
     rows = rows.withColumn("of", F.ceil(F.col("size") / SPLIT).cast("long")).withColumn("mine", F.pmod(F.xxhash64("c"), F.col("of")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    rows = rows.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp", "n", "bits")
-
-    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    rows = rows.select("leader", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp")
+    parts = stored(rows.groupBy("leader").agg(F.ceil(F.count("*") / SHARED).cast("long").alias("parts")), "leaders")
+    rows = stored(rows.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("sig", "i", "j"), F.col("parts"))).drop("parts"), "dealt-groups")
+    maps = rows.select("leader", "part", "c").distinct().join(info.select("c", "n", "bits"), "c")
+    none = F.lit(None).cast("long")
+    both = rows.select("leader", "part", F.lit(1).alias("kind"), "sig", "i", "j", "c", "mine", "comp", none.alias("n"), F.lit(None).cast("binary").alias("bits"))
+    both = both.unionByName(maps.select("leader", "part", F.lit(0).alias("kind"), none.alias("sig"), none.alias("i"), none.alias("j"), "c", none.alias("mine"), none.alias("comp"), "n", "bits"))
+
+    def pairs(group: list[pa.RecordBatch], known: dict[int, tuple[int, bytes]]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(group)
-        c, comp, n, mine = (table[x].to_numpy() for x in ("c", "comp", "n", "mine"))
-        maps = table["bits"].to_pylist()
+        c, comp, mine = (table[x].to_numpy() for x in ("c", "comp", "mine"))
+        own = [known[x] for x in c.tolist()]
+        n, maps = np.array([x for x, _ in own]), [x for _, x in own]
         maps = _folded(maps, min(map(len, maps)))
         split = table["i"][0] != table["j"][0]
         found: list[tuple[int, int, int, int, int, bool]] = []
@@ -348,24 +359,30 @@ def open_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        key = None
+        key = task = None
+        known: dict[int, tuple[int, bytes]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(x).to_numpy() for x in ("sig", "i", "j")])
+            keys = np.stack([batch.column(x).fill_null(0).to_numpy() for x in ("leader", "part", "kind", "sig", "i", "j")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                now = tuple(keys[:, a].tolist())
+                now, piece = tuple(keys[:, a].tolist()), batch.slice(a, b - a)
                 if now != key and held:
-                    if (out := pairs(held)) is not None:
+                    if (out := pairs(held, known)) is not None:
                         yield out
                     held = []
                 key = now
-                held.append(batch.slice(a, b - a))
-        if held and (out := pairs(held)) is not None:
+                if now[:2] != task:
+                    task, known = now[:2], {}
+                if now[2]:
+                    held.append(piece)
+                else:
+                    known.update(zip(piece.column("c").to_pylist(), zip(piece.column("n").to_pylist(), piece.column("bits").to_pylist(), strict=True), strict=True))
+        if held and (out := pairs(held, known)) is not None:
             yield out
 
-    dealt = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "c")
+    dealt = both.repartition("leader", "part").sortWithinPartitions("leader", "part", "kind", "sig", "i", "j", "c")
     return dealt.mapInArrow(run, "u long, v long, cut boolean, sig long")
 
 

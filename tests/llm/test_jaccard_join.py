@@ -58,6 +58,7 @@ def corpus(seed):
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, words, percent):
     monkeypatch.setattr(J, "SPLIT", 20 if seed == 3 else J.SPLIT)  # so that groups are dealt into blocks
     monkeypatch.setattr(J, "LISTED", {1: 16, 2: 2, 3: 4}[seed])
+    monkeypatch.setattr(J, "SHARED", {1: J.SHARED, 2: 100, 3: 30}[seed])
     texts = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in J.classes(docs, words, percent).collect()}
