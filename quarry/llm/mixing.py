@@ -101,7 +101,6 @@ def tilts(merged: DataFrame, wanted: DataFrame, rows: int, cap: float = CAP) ->
     return state.select("source", F.round("tilt", DIGITS).alias("tilt"))
 
 
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies times size) of every row, and rid."""
     rows = stored(sizes(docs), "sizes")
