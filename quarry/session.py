@@ -72,7 +72,17 @@ def stored(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
