@@ -44,6 +44,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
+    copies = copies.hint("merge")  # it grows with the corpus, so it is shuffled at every size
     taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 

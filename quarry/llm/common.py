@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import ship, stored
+from quarry.session import discard, ship, stored
 
-__all__ = ["BATCH_BYTES", "WORD", "Kept", "map_batches", "read", "stored", "text_batches", "with_text", "word_hashes", "worker_cache"]
+__all__ = ["BATCH_BYTES", "WORD", "Kept", "discard", "map_batches", "read", "release", "stored", "text_batches", "with_text", "word_hashes", "worker_cache"]
 
 #: A word in the contracts' sense: a run of anything but ASCII white space. ``bytes.split()`` splits by the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handed to one call of a per-batch function, so that memory doesn't depend on how many rows Arrow puts in a batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Words whose hashes a worker keeps in each of two generations, and the greatest length in bytes of one.
-WORDS, WORD_BYTES = 200_000, 64
+WORDS, WORD_BYTES = 120_000, 64
 
 _cache: dict[object, object] = {}
 
@@ -67,6 +69,13 @@ def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task holds no more than its cache."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -107,5 +116,6 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBa
                 out = pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
             if out is not None and out.num_rows:
                 yield out
+        release()
 
     return df.mapInArrow(run, kind)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, stored, with_text, word_hashes
+from quarry.llm.common import discard, map_batches, release, stored, with_text, word_hashes
 from quarry.llm.components import components
 
 #: Growth of the size bands; elements below which a half is light; share of halves added for the light ones.
@@ -215,6 +215,7 @@ def near(edges: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             apart = np.array([int(np.bitwise_count(np.bitwise_xor(*_folded([x, y], min(len(x), len(y))))).sum()) for x, y in zip(a, b, strict=True)])
             keep = apart <= _allowed(batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy(), percent)
             yield batch.select(["u", "v", "shared"]).filter(pa.array(keep))
+        release()
 
     return edges.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long, shared long")
 
@@ -250,6 +251,7 @@ def verified(edges: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     side = lambda x: known.select(F.col("c").alias(x), F.col("set").alias(f"set_{x}"))
     return edges.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
@@ -381,6 +383,7 @@ def open_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: int) ->
                     known.update(zip(piece.column("c").to_pylist(), zip(piece.column("n").to_pylist(), piece.column("bits").to_pylist(), strict=True), strict=True))
         if held and (out := pairs(held, known)) is not None:
             yield out
+        release()
 
     dealt = both.repartition("leader", "part").sortWithinPartitions("leader", "part", "kind", "sig", "i", "j", "c")
     return dealt.mapInArrow(run, "u long, v long, cut boolean, sig long")
@@ -388,8 +391,10 @@ def open_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: int) ->
 
 def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """The records of all documents, and node and root of the classes that have links."""
-    found = stored(records(docs, words, percent), "records")
-    members = stored(groups(found), "members")
+    whole = stored(records(docs, words, percent), "records")
+    members = stored(groups(whole), "members")
+    found = stored(whole.drop("sigs"), "classes-of")
+    discard(whole)  # the signatures are the largest table, and have done their part
     info = found.where("bits IS NOT NULL").join(members.select("c").distinct(), "c", "left_semi")
     info = stored(info.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "classes")
     stars = members.where("c != leader").groupBy(F.col("leader").alias("u"), F.col("c").alias("v")).agg(F.count("*").alias("shared"))
@@ -403,7 +408,9 @@ def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame,
     if not left.isEmpty():
         links = links.unionByName(stored(verified(left, known, percent), "links"))
         labels = stored(components(links), "labels")
-    members = distinct_groups(members)
+    discard(known)
+    every, members = members, distinct_groups(members)
+    discard(every)
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     nearest = NEAREST
     first = True
@@ -417,6 +424,7 @@ def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame,
         if not fresh.isEmpty():
             own = sets(docs, info, fresh.select(F.col("u").alias("c")).unionByName(fresh.select(F.col("v").alias("c"))), words)
             links = links.unionByName(stored(verified(fresh, own, percent), "links"))
+            discard(own)
             labels = stored(components(links), "labels")
             tested = tested.unionByName(fresh.select("u", "v"))
         # Groups that have sent all their candidates are done.

@@ -23,7 +23,7 @@ from quarry.llm.common import Kept, map_batches, with_text, worker_cache
 #: What stands for a space; how far below the least score an unknown character is.
 SPACE, BELOW = "▁", 10.0
 #: Words whose counts a worker keeps in each of two generations, and their greatest length.
-CACHE, CACHE_CHARS = 300_000, 64
+CACHE, CACHE_CHARS = 200_000, 64
 
 
 def default_vocabulary() -> tuple[tuple[str, float], ...]:

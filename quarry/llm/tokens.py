@@ -16,7 +16,7 @@ import numpy as np
 from quarry.llm.common import Kept, worker_cache
 
 #: Pre-tokens whose ids a worker keeps in each of two generations, and their greatest length in characters.
-CACHE, CACHE_CHARS = 300_000, 64
+CACHE, CACHE_CHARS = 200_000, 64
 #: Pre-tokens encoded as one text.
 JOINED = 2000
 
