@@ -30,7 +30,11 @@ from quarry.llm.common import map_batches
 #: Labelled pages that give the weights at most.
 SAMPLE = 2000
 #: Weights where no page is labelled; "" is any other tag.
-PLAIN = {"word": 1.0, "link word": -0.5, "p": 2.0, "/p": 0.0, "h1": 2.0, "/h1": 0.0, "br": 0.0, "b": 0.0, "/b": 0.0, "i": 0.0, "/i": 0.0, "em": 0.0, "/em": 0.0, "": -2.0}
+PLAIN = (
+    {"word": 1.0, "link word": -0.5, "": -2.0}
+    | dict.fromkeys(("p", "h1", "h2", "h3", "blockquote", "pre"), 2.0)
+    | dict.fromkeys(("/p", "/h1", "/h2", "/h3", "/blockquote", "/pre", "a", "/a", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "span", "/span", "code", "/code", "sub", "/sub", "sup", "/sup", "br", "img"), 0.0)
+)
 
 #: Element names by their place in HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead title tr ul".split())
