@@ -39,7 +39,7 @@ from quarry.llm.components import components
 #: Growth of the size bands; elements below which a half is light; share of halves added for the light ones.
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
 #: Members of a group that one task compares; nearest candidates of a member in the first round, and their growth.
-SPLIT, NEAREST, MORE = 8000, 4, 8
+SPLIT, NEAREST, MORE = 8000, 4, 64
 #: Rows of groups with one leader that share a task's bitmaps.
 SHARED = 50_000
 #: Members up to which a group just lists its pairs: the same few pairs come from many groups, and are tried once.
