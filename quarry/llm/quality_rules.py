@@ -2,14 +2,15 @@
 
 The model is a modified Kneser-Ney trigram model over a fixed alphabet of symbols (letters, one symbol for
 capitals, digits, punctuation marks, classes for the rest), one for each language. Spark counts
-the n-grams of all documents; each task adds up its own first. As the alphabet is fixed, a
+the n-grams of all distinct texts; each task adds up its own first. As the alphabet is fixed, a
 language has at most ``SYMBOLS ** 3`` n-grams, so the counts fit the driver, which turns them into arrays
 of hashes (the n-gram's number, which no other n-gram has) in sorted order with log probabilities.
 Documents are looked up by binary search.
 
 A language's band lies around its documents' quartiles of log perplexity, widened by a multiple of their distance;
 short documents get a wider one, since their mean varies more. The quartiles are exact up to a
-hundredth of a nat, from counts by language and bin over all documents.
+millionth of a nat, over all documents, and a least distance keeps a band open where they fall together. Copies of a
+text count once, for the model and the band.
 
 Defined cases: null text has no words and fails the base rules; a null language is a language of its own;
 beyond ``LANGUAGES`` languages, the rarer share one model; repeated rows are judged each, equally; an empty table gives no
@@ -22,15 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches, stored, with_text
 
 #: Languages with a model of their own, by number of documents.
 LANGUAGES = 16
-#: Quartile distances on either side, bins of log perplexity a nat, and the length that widens a band by a square root of 2.
-FENCE, BINS, SHORT = 4.0, 100, 400
+#: Quartile distances on either side, the least distance in nats, and the length that widens a band by a square root of 2.
+FENCE, LEAST_SPREAD, SHORT = 4.0, 0.02, 400
 #: The contract's rules.
 SYMBOL_CHARS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 5, 10, 20
 
@@ -71,7 +72,7 @@ def _trigrams(s: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all documents; ``gram`` is the number of a trigram that ends in a symbol of a text."""
+    """lang, gram, n over all distinct texts, so that copies don't pull the model to them; ``gram`` is the number of a trigram that ends in a symbol of a text."""
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"lang": [], "gram": [], "n": []}
@@ -85,7 +86,7 @@ def counts(docs: DataFrame) -> DataFrame:
             out["n"].append(n[grams])
         return out | {k: np.concatenate(out[k]).astype(np.int64) for k in ("gram", "n")}
 
-    return map_batches(with_text(docs, "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(with_text(docs, "lang").distinct(), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -221,17 +222,30 @@ def measures(docs: DataFrame, models: dict[str | None, Model], rest: Model) -> D
     return map_batches(with_text(docs, "doc_id", "lang"), run, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, size long, log_perplexity double")
 
 
-def bands(scored: DataFrame, own: list[str | None], fence: float = FENCE) -> DataFrame:
-    """model, low, high: the band of each model's documents that pass the base rules, from counts by bin."""
-    binned = scored.where("NOT base_failed").groupBy("model", F.floor(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    listed = binned.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
+def quantiles(values: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """model and a column for each share: the value of that rank among the model's rows, to a millionth.
 
-    def quartile(q: float) -> F.Column:
-        upto = F.expr("transform(bins, (x, i) -> struct(x.bin AS bin, aggregate(slice(bins, 1, i + 1), 0L, (a, y) -> a + y.n) AS upto))")
-        return (F.filter(upto, lambda x: x["upto"] >= q * F.col("total"))[0]["bin"] + 0.5) / BINS
-
-    found = listed.select("model", quartile(0.25).alias("a"), quartile(0.75).alias("b"))
-    return found.select("model", ((F.col("a") + F.col("b")) / 2).alias("middle"), (F.col("a") - fence * (F.col("b") - F.col("a"))).alias("low"), (F.col("b") + fence * (F.col("b") - F.col("a"))).alias("high"))
+    Counts by bin of a hundredth find the bin of each rank, then counts by millionths in those bins the value, so no
+    task holds more than the bins of a model.
+    """
+    values = values.select("model", F.col(value).alias("v")).withColumn("bin", F.floor(F.col("v") * 100))
+    upto = Window.partitionBy("model").orderBy("bin")
+    counted = values.groupBy("model", "bin").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("model")))
+    ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in shares.items())))
+    found = counted.withColumn("x", ranks).withColumn("rank", F.greatest(F.ceil(F.col("x.q") * F.col("total")), F.lit(1)) - (F.col("upto") - F.col("n")))
+    found = found.where("rank BETWEEN 1 AND n").select("model", "bin", F.col("x.name").alias("name"), "rank")
+    fine = values.join(F.broadcast(found), ["model", "bin"]).groupBy("model", "name", "rank", F.floor(F.col("v") * 1_000_000).alias("at")).agg(F.count("*").alias("n"))
+    fine = fine.withColumn("upto", F.sum("n").over(Window.partitionBy("model", "name").orderBy("at"))).where("rank BETWEEN upto - n + 1 AND upto")
+    return fine.groupBy("model").agg(*(F.max(F.when(F.col("name") == name, (F.col("at") + 0.5) / 1_000_000)).alias(name) for name in shares))
+
+
+def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
+    """model, middle, low, high: the band of each model's documents that pass the base rules; copies count once."""
+    once = scored.where("NOT base_failed").select("model", "size", F.round("log_perplexity", 9).alias("log_perplexity")).distinct()
+    spread = F.greatest(F.col("b") - F.col("a"), F.lit(LEAST_SPREAD))
+    found = quantiles(once, "log_perplexity", {"a": 0.25, "b": 0.75})
+    return found.select("model", ((F.col("a") + F.col("b")) / 2).alias("middle"), (F.col("a") - fence * spread).alias("low"), (F.col("b") + fence * spread).alias("high"))
 
 
 def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
@@ -242,7 +256,7 @@ def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     named = F.col("lang").isin([x for x in models if x is not None]) | (F.col("lang").isNull() if None in models else F.lit(False))
     model = F.when(F.coalesce(named, F.lit(False)), F.concat(F.lit("own:"), F.coalesce("lang", F.lit("")))).otherwise(F.lit("rest"))
     scored = stored(scored.withColumn("base_failed", failed).withColumn("model", F.when(F.col("lang").isNull() & F.lit(None in models), F.lit("none")).otherwise(model)), "measures")
-    limits = stored(bands(scored, list(models), fence), "bands")
+    limits = stored(bands(scored, fence), "bands")
     joined = scored.join(F.broadcast(limits), "model", "left")  # a row for each of LANGUAGES + 1 models at most
     wide = F.sqrt(1 + SHORT / F.greatest(F.col("size"), F.lit(1)))
     inside = (F.col("log_perplexity") >= F.col("middle") - (F.col("middle") - F.col("low")) * wide) & (F.col("log_perplexity") <= F.col("middle") + (F.col("high") - F.col("middle")) * wide)

@@ -112,3 +112,17 @@ def test_token_counts_are_the_tokenizers():
         assert token_counts.Counter(vocabulary).counts(own) == expected
     with pytest.raises(ValueError):
         token_counts.Counter((("a▁b", -1.0),))
+
+
+def _prose(n, seed):
+    rng = np.random.default_rng(seed)
+    words = "the sea was calm and old boats came home slowly with their nets full of silver fish while children ran along the wet stones".split()
+    return [" ".join(rng.choice(words, 60)) + "." for _ in range(n)]
+
+
+def test_bands_stay_open_for_one_document_and_among_copies(spark):
+    one, many = _prose(1, 1), _prose(20, 2)
+    rows = [(0, "xx", one[0])] + [(100 + i, "yy", many[0]) for i in range(80)] + [(200 + i, "yy", t) for i, t in enumerate(many)]
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    assert all(not r.base_failed for r in found)
+    assert [r.doc_id for r in found if not r.kept] == []
