@@ -7,9 +7,10 @@ language has at most ``SYMBOLS ** 3`` n-grams, so the counts fit the driver, whi
 of hashes (the n-gram's number, which no other n-gram has) in sorted order with log probabilities.
 Documents are looked up by binary search.
 
-A language's band lies around its documents' quartiles of log perplexity, widened by a multiple of their distance;
-short documents get a wider one, since their mean varies more. The quartiles are exact up to a
-millionth of a nat, over all documents, and a least distance keeps a band open where they fall together. Copies of a
+A mean over n symbols varies by 1 / sqrt(n), so a document's distance from its language's median log perplexity is
+taken times sqrt(n). The band lies around the quartiles of these distances, widened by a multiple of the quartile
+distance, and narrows with a document's length. Medians and quartiles are exact up to a millionth, over all documents,
+and a least distance keeps a band open where quartiles fall together. Copies of a
 text count once, for the model and the band.
 
 Defined cases: null text has no words and fails the base rules; a null language is a language of its own;
@@ -30,8 +31,8 @@ from quarry.llm.common import map_batches, stored, with_text
 
 #: Languages with a model of their own, by number of documents.
 LANGUAGES = 16
-#: Quartile distances on either side, the least distance in nats, and the length that widens a band by a square root of 2.
-FENCE, LEAST_SPREAD, SHORT = 4.0, 0.02, 400
+#: Quartile distances on either side (3.4 standard deviations of a normal spread), and the least distance, for a document of one symbol.
+FENCE, LEAST_SPREAD = 2.0, 0.5
 #: The contract's rules.
 SYMBOL_CHARS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", 5, 10, 20
 
@@ -241,15 +242,17 @@ def quantiles(values: DataFrame, value: str, shares: dict[str, float]) -> DataFr
 
 
 def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
-    """model, middle, low, high: the band of each model's documents that pass the base rules; copies count once."""
+    """model, middle, below, above: the median of the documents that pass the base rules, and how far a document of one symbol may be from it; copies count once."""
     once = scored.where("NOT base_failed").select("model", "size", F.round("log_perplexity", 9).alias("log_perplexity")).distinct()
+    middles = stored(quantiles(once, "log_perplexity", {"middle": 0.5}), "middles")
+    apart = once.join(F.broadcast(middles), "model").withColumn("apart", (F.col("log_perplexity") - F.col("middle")) * F.sqrt(F.greatest("size", F.lit(1))))
     spread = F.greatest(F.col("b") - F.col("a"), F.lit(LEAST_SPREAD))
-    found = quantiles(once, "log_perplexity", {"a": 0.25, "b": 0.75})
-    return found.select("model", ((F.col("a") + F.col("b")) / 2).alias("middle"), (F.col("a") - fence * spread).alias("low"), (F.col("b") + fence * spread).alias("high"))
+    found = quantiles(apart, "apart", {"a": 0.25, "b": 0.75}).join(middles, "model")
+    return found.select("model", "middle", (F.col("a") - fence * spread).alias("below"), (F.col("b") + fence * spread).alias("above"))
 
 
 def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
-    """Every document's measures, its language's band, base_failed and kept."""
+    """Every document's measures, the band of its language at its length, base_failed and kept."""
     models, rest = train(docs)
     scored = measures(docs, models, rest)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -258,6 +261,6 @@ def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     scored = stored(scored.withColumn("base_failed", failed).withColumn("model", F.when(F.col("lang").isNull() & F.lit(None in models), F.lit("none")).otherwise(model)), "measures")
     limits = stored(bands(scored, fence), "bands")
     joined = scored.join(F.broadcast(limits), "model", "left")  # a row for each of LANGUAGES + 1 models at most
-    wide = F.sqrt(1 + SHORT / F.greatest(F.col("size"), F.lit(1)))
-    inside = (F.col("log_perplexity") >= F.col("middle") - (F.col("middle") - F.col("low")) * wide) & (F.col("log_perplexity") <= F.col("middle") + (F.col("high") - F.col("middle")) * wide)
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    root = F.sqrt(F.greatest("size", F.lit(1)))
+    joined = joined.withColumn("low", F.col("middle") + F.col("below") / root).withColumn("high", F.col("middle") + F.col("above") / root).drop("below", "above")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))

@@ -126,3 +126,12 @@ def test_bands_stay_open_for_one_document_and_among_copies(spark):
     found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
     assert all(not r.base_failed for r in found)
     assert [r.doc_id for r in found if not r.kept] == []
+
+
+def test_bands_narrow_with_length(spark):
+    prose = _prose(200, 5)
+    long = [" ".join(prose[i : i + 25]) for i in range(0, 200, 25)]
+    junk = [t.replace(" ", " | ", 120) for t in long[:4]]
+    found = quality_rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + long[4:] + junk)], "doc_id long, text string, lang string"))
+    kept = {r.doc_id: r.kept for r in found.collect()}
+    assert sum(kept[i] for i in range(204)) >= 202 and not any(kept[204 + i] for i in range(4))
