@@ -14,13 +14,14 @@ and a least distance keeps a band open where quartiles fall together. Copies of
 text count once, for the model and the band.
 
 Defined cases: null text has no words and fails the base rules; a null language is a language of its own;
-beyond ``LANGUAGES`` languages, the rarer share one model; repeated rows are judged each, equally; an empty table gives no
+every language has a model and a band of its own, of ``LANGUAGES`` at a time; repeated rows are judged each, equally; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import map_batches, stored, with_text
 
-#: Languages with a model of their own, by number of documents.
+#: Languages whose models are held at a time.
 LANGUAGES = 16
 #: Quartile distances on either side (3.4 standard deviations of a normal spread), and the least distance, for a document of one symbol.
 FENCE, LEAST_SPREAD = 2.0, 0.5
@@ -158,15 +159,9 @@ class Model:
         return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
-def train(docs: DataFrame) -> tuple[dict[str | None, Model], Model]:
-    """A model for each of the most frequent languages, and one of all the others together."""
-    table = stored(counts(docs), "ngrams")
-    held = table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    own = [r.lang for r in held]
-    known = F.col("lang").isin([x for x in own if x is not None]) | (F.col("lang").isNull() if None in own else F.lit(False))
-    models = {lang: Model.of(*_arrays(table.where(F.col("lang").eqNullSafe(lang)))) for lang in own}
-    rest = table.where(~F.coalesce(known, F.lit(False))).groupBy("gram").agg(F.sum("n").alias("n"))
-    return models, Model.of(*_arrays(rest))
+def train(table: DataFrame, langs: list[str | None]) -> dict[str | None, Model]:
+    """A model for each of some languages."""
+    return {lang: Model.of(*_arrays(table.where(F.col("lang").eqNullSafe(lang)))) for lang in langs}
 
 
 def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +194,9 @@ def plain_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), points, len(text) - len(text.translate(None, SYMBOL_CHARS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def measures(docs: DataFrame, models: dict[str | None, Model], rest: Model) -> DataFrame:
-    """doc_id, lang, the plain counts, n_chars and log perplexity (nats a symbol) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, rest))
+def measures(docs: DataFrame, models: dict[str | None, Model]) -> DataFrame:
+    """doc_id, lang, the plain counts, n_chars and log perplexity (nats a symbol) of every document; without a model, a language has that of no text."""
+    shared = docs.sparkSession.sparkContext.broadcast((models, Model.of(np.zeros(0, np.int64), np.zeros(0, np.int64))))
 
     def run(batch: pa.RecordBatch) -> dict:
         models, rest = shared.value
@@ -253,14 +248,20 @@ def bands(scored: DataFrame, fence: float = FENCE) -> DataFrame:
 
 def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
     """Every document's measures, the band of its language at its length, base_failed and kept."""
-    models, rest = train(docs)
-    scored = measures(docs, models, rest)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    named = F.col("lang").isin([x for x in models if x is not None]) | (F.col("lang").isNull() if None in models else F.lit(False))
-    model = F.when(F.coalesce(named, F.lit(False)), F.concat(F.lit("own:"), F.coalesce("lang", F.lit("")))).otherwise(F.lit("rest"))
-    scored = stored(scored.withColumn("base_failed", failed).withColumn("model", F.when(F.col("lang").isNull() & F.lit(None in models), F.lit("none")).otherwise(model)), "measures")
+    table = stored(counts(docs), "ngrams")
+    langs = [r.lang for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]  # names only
+    blank = F.coalesce("text", F.lit("")) == ""
+    parts = [measures(docs.where(blank), {})]  # no n-grams, so no language of the table may be theirs
+    for k in range(0, len(langs), LANGUAGES):
+        own = langs[k : k + LANGUAGES]
+        named = F.coalesce(F.col("lang").isin([x for x in own if x is not None]), F.lit(False)) | (F.col("lang").isNull() & F.lit(None in own))
+        parts.append(stored(measures(docs.where(~blank & named), train(table, own)), "round"))
+    scored = reduce(DataFrame.unionByName, parts)
+    model = F.coalesce(F.concat(F.lit("own:"), "lang"), F.lit("none"))
+    scored = stored(scored.withColumn("base_failed", failed).withColumn("model", model), "measures")
     limits = stored(bands(scored, fence), "bands")
-    joined = scored.join(F.broadcast(limits), "model", "left")  # a row for each of LANGUAGES + 1 models at most
+    joined = scored.join(F.broadcast(limits), "model", "left")  # a row for each language
     root = F.sqrt(F.greatest("size", F.lit(1)))
     joined = joined.withColumn("low", F.col("middle") + F.col("below") / root).withColumn("high", F.col("middle") + F.col("above") / root).drop("below", "above")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))

@@ -135,3 +135,13 @@ def test_bands_narrow_with_length(spark):
     found = quality_rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + long[4:] + junk)], "doc_id long, text string, lang string"))
     kept = {r.doc_id: r.kept for r in found.collect()}
     assert sum(kept[i] for i in range(204)) >= 202 and not any(kept[204 + i] for i in range(4))
+
+
+def test_every_language_has_a_band_of_its_own(spark):
+    prose = _prose(5, 6)
+    rows = [(0, "zz", prose[0])] + [(i, None if i % 7 == 0 else f"l{i % 20}", t) for i, t in enumerate(prose * 24, 1)] + [(200, "blank", ""), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    own, alone = quality_rules.judge(docs).collect(), quality_rules.judge(docs.where("lang = 'zz'")).collect()
+    assert sorted(r.doc_id for r in own) == sorted(r[0] for r in rows)
+    assert len({r.model for r in own if r.doc_id < 200}) == len({r[1] for r in rows if r[0] < 200})
+    assert [r.log_perplexity for r in own if r.lang == "zz"] == [r.log_perplexity for r in alone]
