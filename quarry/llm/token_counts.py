@@ -1,10 +1,16 @@
-"""Token counts of a unigram tokenizer, without the tokens.
+"""Token counts of a tokenizer, without keeping the tokens.
 
-An Aho-Corasick automaton lists the vocabulary's pieces in a word; dynamic programming over its
+By default the counts are those of the shipped ``piece_bpe_32k.model``: a BPE model with byte fallback, so its own
+encoder applies its merges to each word, and a character without a piece is as many tokens as it has bytes.
+
+With a unigram vocabulary (pieces and log probabilities) as a parameter, the counts are those of that unigram
+tokenizer. An Aho-Corasick automaton lists the vocabulary's pieces in a word; dynamic programming over its
 positions keeps the best score and the number of pieces behind it. Ties go as in the tokenizer: of paths
 with equal scores to a position, the one whose last piece starts first stays; a character
 without a piece of its own is an unknown one, scored below all pieces, and neighbouring unknown ones are one
-token. Words start with the mark that stands for a space, and no piece but runs of marks
+token.
+
+Words start with the mark that stands for a space, and no piece but runs of marks
 goes across one, so words are counted apart and each worker keeps the counts of the words it has met.
 
 Defined cases: null or empty text has no tokens; repeated rows are counted each; an empty table gives no rows;
@@ -14,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +33,16 @@ SPACE, BELOW = "▁", 10.0
 CACHE, CACHE_CHARS = 200_000, 64
 
 
-def default_vocabulary() -> tuple[tuple[str, float], ...]:
-    """Pieces and scores of a public model: a parameter, read where it lies."""
+def default_model() -> str:
+    """A public model, read where it lies."""
     import public_tokenizers
 
-    return _read(public_tokenizers.path("piece_bpe_32k.model"))
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def default_vocabulary() -> tuple[tuple[str, float], ...]:
+    """Pieces and scores of the public model. Its scores are ranks of merges: as a unigram vocabulary they match no tokenizer."""
+    return _read(default_model())
 
 
 @lru_cache(maxsize=4)
@@ -42,22 +54,68 @@ def _read(path: str) -> tuple[tuple[str, float], ...]:
     return tuple((model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
 
 
-class Counter:
-    """Counts of words under a vocabulary."""
+class _ByWord:
+    """Counts of texts from those of their words; ``count`` gives the tokens of one word."""
+
+    def __init__(self) -> None:
+        self.known = Kept(CACHE)
+
+    def count(self, word: str) -> int:
+        raise NotImplementedError
+
+    def count_all(self, words: list[str]) -> list[int]:
+        return [self.count(w) for w in words]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        # A run of spaces stays with the word after it; only single spaces are the usual case.
+        words = [(" " + t).replace(" ", SPACE).replace(SPACE, " " + SPACE).split(" ")[1:] if SPACE * 2 not in (" " + t).replace(" ", SPACE) else _runs((" " + t).replace(" ", SPACE)) for t in texts]
+        fresh = self.known.missing(set().union(*words))
+        self.known.new.update(zip(fresh, self.count_all(list(fresh)), strict=True))
+        known = self.known.new
+        out = [sum(map(known.__getitem__, own)) if t else 0 for own, t in zip(words, texts, strict=True)]
+        self.known.forget_long(fresh, CACHE_CHARS)
+        return out
+
+class Encoder(_ByWord):
+    """Counts of words by a SentencePiece model's own rules, byte fallback included."""
+
+    def __init__(self, model: bytes) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        super().__init__()
+        self.model = SentencePieceProcessor(model_proto=model)
+        for i in range(self.model.get_piece_size()):
+            _check_piece(self.model.id_to_piece(i))
+        self.mark = len(self.model.encode("a ")) - len(self.model.encode("a"))
+
+    def count(self, word: str) -> int:
+        return self.count_all([word])[0]
+
+    def count_all(self, words: list[str]) -> list[int]:
+        # The model itself puts the first mark before a text, but not before an empty one.
+        return [len(ids) if w != SPACE else self.mark for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True)]
+
+
+def _check_piece(piece: str) -> None:
+    if SPACE in piece.lstrip(SPACE):
+        raise ValueError(f"words can't be counted apart: {piece!r} goes across a space")
+
+
+class Counter(_ByWord):
+    """Counts of words under a unigram vocabulary."""
 
     def __init__(self, vocabulary: tuple[tuple[str, float], ...]) -> None:
         import ahocorasick
 
+        super().__init__()
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
-            if SPACE in piece.lstrip(SPACE):
-                raise ValueError(f"words can't be counted apart: {piece!r} goes across a space")
+            _check_piece(piece)
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         if len(self.automaton):
             self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - BELOW
-        self.known = Kept(CACHE)
 
     def _ends(self, word: str) -> list[list[tuple[int, float]]]:
         """Start and score of the pieces that end at each position, longest first."""
@@ -91,16 +149,6 @@ class Counter:
             score[end] = best
         return pieces[-1]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        # A run of spaces stays with the word after it; only single spaces are the usual case.
-        words = [(" " + t).replace(" ", SPACE).replace(SPACE, " " + SPACE).split(" ")[1:] if SPACE * 2 not in (" " + t).replace(" ", SPACE) else _runs((" " + t).replace(" ", SPACE)) for t in texts]
-        fresh = self.known.missing(set().union(*words))
-        self.known.new.update((w, self.count(w)) for w in fresh)
-        known = self.known.new
-        out = [sum(map(known.__getitem__, own)) if t else 0 for own, t in zip(words, texts, strict=True)]
-        self.known.forget_long(fresh, CACHE_CHARS)
-        return out
-
 
 def _runs(text: str) -> list[str]:
     """Words with all the marks before them."""
@@ -113,13 +161,16 @@ def _runs(text: str) -> list[str]:
 
 
 def token_counts(docs: DataFrame, vocabulary: tuple[tuple[str, float], ...] | None = None) -> DataFrame:
-    """doc_id, n_tokens and n_chars of every document."""
-    vocabulary = vocabulary or default_vocabulary()
-    name = hash(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a tokenizer's vocabulary, the same at every size
+    """doc_id, n_tokens and n_chars of every document: of the shipped model, or of a unigram vocabulary."""
+    if vocabulary is None:
+        kind, held = Encoder, Path(default_model()).read_bytes()
+    else:
+        kind, held = Counter, vocabulary
+    name = hash(held)
+    shared = docs.sparkSession.sparkContext.broadcast(held)  # a tokenizer's vocabulary, the same at every size
 
     def run(batch: pa.RecordBatch) -> dict:
-        counter = worker_cache(("counter", name), lambda: Counter(shared.value))
+        counter = worker_cache(("counter", name), lambda: kind(shared.value))
         texts = batch.column("text").to_pylist()
         return {"doc_id": batch.column("doc_id"), "n_tokens": counter.counts(texts), "n_chars": [len(t) for t in texts]}
 

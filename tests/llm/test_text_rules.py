@@ -145,3 +145,13 @@ def test_every_language_has_a_band_of_its_own(spark):
     assert sorted(r.doc_id for r in own) == sorted(r[0] for r in rows)
     assert len({r.model for r in own if r.doc_id < 200}) == len({r[1] for r in rows if r[0] < 200})
     assert [r.log_perplexity for r in own if r.lang == "zz"] == [r.log_perplexity for r in alone]
+
+
+def test_default_counts_are_the_shipped_models(docs_of):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(7)
+    model = SentencePieceProcessor(model_file=token_counts.default_model())
+    own = ["", " ", "  a", "a ", "a  b  ", "x▁y", "日🙂🙂 ﷺ", "a\0b\n\n", "The quick brown fox jumps over the lazy dog.", *("".join(rng.choices("the oféß 日🙂x\n'1▁", k=rng.randint(0, 40))) for _ in range(300))]
+    found = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs_of(own)).collect()}
+    assert [found[i] for i in range(len(own))] == [len(model.encode(t)) for t in own]
