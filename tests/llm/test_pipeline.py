@@ -68,3 +68,21 @@ def test_dedup_query_against_its_sql(spark, folder):
 
 def test_every_operator_has_a_query():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+
+
+def test_repeated_and_null_ids_leave_one_row_of_each_text(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.collect()
+    twice = [tuple(r) for r in rows] + [tuple(r) for r in rows[:100]] + [(None, *tuple(r)[1:]) for r in rows[:20]] + [(rows[0].doc_id, *tuple(r)[1:]) for r in rows[20:40]]
+    left = P.exact(spark, spark.createDataFrame(twice, docs.schema), folder).collect()
+    assert sorted(r.text.lower() for r in left) == sorted({r.text.lower() for r in rows})
+    one_id = spark.createDataFrame([(7 if r.doc_id % 2 else None, *tuple(r)[1:]) for r in left], docs.schema)
+    near = P.near(spark, one_id, folder).collect()
+    assert sorted(r.text for r in near) == sorted({r.text for r in near})
+    grams = [{tuple(r.text.split()[i : i + 5]) for i in range(len(r.text.split()) - 4)} for r in near]
+    assert not any(100 * len(x & y) >= 80 * len(x | y) for i, x in enumerate(grams) for y in grams[:i])
+    mixed = P.mix(spark, spark.createDataFrame(near, docs.schema), folder).collect()
+    copies = {}
+    for r in mixed:
+        copies[r.text] = copies.get(r.text, 0) + 1
+    assert max(copies.values()) <= 4
