@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import html_text, queries, quality_rules, secrets, token_counts
 
@@ -56,15 +57,100 @@ def test_plain_counts():
         assert quality_rules.plain_counts(text.encode()) == plain(text)
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(3)
-    s = rng.integers(1, 6, 3000).astype(np.int32)
-    grams, n = np.unique(quality_rules._trigrams(s), return_counts=True)
-    model = quality_rules.Model.of(grams, n)
-    for context in ((1, 2), (5, 5), (3, 90), (80, 2)):  # seen, and not
-        keys = (context[0] * quality_rules.SYMBOLS + context[1]) * quality_rules.SYMBOLS + np.arange(quality_rules.SYMBOLS)
-        assert np.exp(model.log_probabilities(keys).astype(float)).sum() == pytest.approx(1, abs=1e-4)
-    assert np.isfinite(quality_rules.Model.of(np.zeros(0, np.int64), np.zeros(0, np.int64)).log_probabilities(np.arange(5))).all()
+def naive_model(counts, order):
+    """log p(symbol | context) by the textbook: recursive, over plain dictionaries."""
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def take(k, n):
+        of = Counter(levels[k].values())
+        if not (of[1] and of[2] and of[min(n, 3)]):
+            return min(n, 3) / 2
+        y, i = of[1] / (of[1] + 2 * of[2]), min(n, 3)
+        return min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.05), i - 0.05)
+
+    def p(context, symbol):
+        k = len(context) + 1
+        own = {g: n for g, n in levels[k].items() if g[:-1] == context}
+        below = p(context[1:], symbol) if context else 1 / (len(levels[1]) + 1)
+        if not own:
+            return below
+        total, n = sum(own.values()), own.get(context + symbol, 0)
+        return (n - take(k, n) if n else 0) / total + sum(take(k, x) for x in own.values()) / total * below
+
+    return p
+
+
+def frequencies(texts, order):
+    return Counter(g for t in texts for g in {("\0" * (order - 1) + t)[i : i + order] for i in range(len(t))})
+
+
+WIDE = (0.0, float("-inf"), float("inf"))
+
+
+@pytest.mark.parametrize("limit", [quality_rules.SLICE, 60])
+def test_probabilities_are_those_of_the_textbook(spark, limit):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aaabbc é日🙂\n", k=rng.randint(1, 30))) for _ in range(60)]
+    other = ["".join(rng.choices("xyz ", k=20)) for _ in range(9)]
+    rows = [("one", t) for t in texts] + [("two", t) for t in other] + [("one", "ab" * 9)] * 7 + [("one", "far")]
+    docs = spark.createDataFrame(rows, "model string, text string").repartition(3)
+    key = quality_rules.near_key(quality_rules.symbols(["ab" * 9], 1)[0])
+    first = quality_rules.load(quality_rules.parts_of(*quality_rules.probabilities(quality_rules.symbol_counts(docs), 1), 1)[0], 1)
+    heavy = {"one": {key: quality_rules._text_hash("ab" * 9)}}
+    found = quality_rules.ordinary_grams(docs, first, {"one": WIDE, "two": WIDE}, heavy, 4)
+    counts = {m: {r.gram: r.n for r in found.where(F.col("model") == m).collect()} for m in ("one", "two")}
+    assert counts == {"one": frequencies([*texts, "ab" * 9, "far"], 4), "two": frequencies(other, 4)}  # copies of the text that stands for a key count once
+    parts = [quality_rules.load(p, 4) for p in quality_rules.parts_of(*quality_rules.probabilities(found, 4), 4, limit)]
+    assert (len(parts) > 1) == (limit == 60)
+    for model, own in (("one", ["ab c日🙂", "zzz", *texts[:6]]), ("two", ["xy z", "日"])):
+        p = naive_model(counts[model], 4)
+        for t in own:
+            padded = "\0\0\0" + t
+            expected = -sum(np.log(p(padded[i : i + 3], padded[i + 3])) for i in range(len(t)))
+            points, starts, ends = quality_rules.symbols([t], 4)
+            assert sum(x.losses(model, points, starts, ends, 4)[0] for x in parts) == pytest.approx(expected, abs=1e-3)
+        for context in ("\0\0a", "abc", "日日日"):
+            assert sum(p(context, s) for s in {g[-1] for g in counts[model]} | {"unknown"}) == pytest.approx(1)
+    assert parts[0].losses("three", *quality_rules.symbols(["abc"], 4), 4).tolist() == [0.0]
+
+
+def test_grams_of_many_symbols():
+    texts = ["".join(map(chr, range(0x4E00, 0x4E00 + 20000))) + "".join(map(chr, range(0x20000, 0x20000 + 40000))), "ab\0ab", "ba"]
+    grams, n = quality_rules.grams_of(texts, 4)
+    found = Counter()
+    for g, k in zip(grams, n.tolist(), strict=True):
+        found[g] += k
+    assert found == frequencies([t.replace("\0", "\ufffd") for t in texts], 4)
+
+
+def test_slices_change_nothing(spark):
+    prose = _prose(60, 8)
+    docs = spark.createDataFrame([(i, "en" if i % 3 else None, t) for i, t in enumerate([*prose, "#%$ !!" * 30, "", None, prose[0]])], "doc_id long, lang string, text string")
+    once = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    many = {r.doc_id: r for r in quality_rules.judge(docs, limit=300).collect()}
+    assert once.keys() == many.keys() and all(once[i].kept == many[i].kept and once[i].log_perplexity == pytest.approx(many[i].log_perplexity, abs=1e-4) for i in once)
+
+
+def test_near_copies_share_a_key():
+    rng = random.Random(9)
+    base = " ".join(_prose(5, 10))
+    keys = Counter()
+    for _ in range(50):
+        at = rng.randrange(len(base))
+        keys[quality_rules.near_key(quality_rules.symbols([base[:at] + "X" + base[at + 1 :]], 1)[0])] += 1
+    assert keys.most_common(1)[0][1] >= 25
+    assert len({quality_rules.near_key(quality_rules.symbols([t], 1)[0]) for t in _prose(50, 11)}) == 50
+
+
+def test_a_third_of_near_copies_stays_like_the_rest(spark):
+    prose, rng = _prose(200, 12), random.Random(13)
+    base = prose[0].split()
+    near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (rng.randrange(len(base)) for _ in range(100))]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(prose + near)], "doc_id long, lang string, text string")
+    kept = [r.kept for r in quality_rules.judge(docs).collect() if not r.base_failed]
+    assert sum(kept) >= 0.97 * len(kept)
 
 
 def test_bands_part_noise_from_prose(spark):
