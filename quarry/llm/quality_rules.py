@@ -107,7 +107,8 @@ def near_key(points: np.ndarray) -> int:
     while width < STRETCH:
         held = held[:-width] * _mix(np.array([width], np.uint64)) + held[width:]
         width *= 2
-    least = [_mix(held * _times(2 * i + 1)).min() for i in range(4)]
+    held = _mix(held)  # turned by some bits, its order is another one
+    least = [held.min(), *(((held << np.uint64(k)) | (held >> np.uint64(64 - k))).min() for k in (16, 32, 48))]
     return xxhash.xxh3_64_intdigest(np.array(least).tobytes()) >> 1
 
 
