@@ -8,12 +8,16 @@ and otherwise ends the step. ``Y`` stands for a y that sounds as a consonant.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import ship
+
 VOWELS = "aeiouy"
 #: Words with a stem of their own, and words that stay.
 OWN = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
@@ -173,6 +177,7 @@ def stem(word: str) -> str:
 
 def stemmed(words: Column) -> Column:
     """The stems of an array of words: each distinct word of a batch is stemmed once, and the arrays rebuilt from codes."""
+    ship(SparkSession.active())
 
     @F.arrow_udf("array<string>")
     def run(lists: pa.Array) -> pa.Array:
@@ -185,6 +190,32 @@ def stemmed(words: Column) -> Column:
     return run(words)
 
 
+def stem_counts(docs: DataFrame, words: Column) -> DataFrame:
+    """doc_id, n (all words) and terms (each stem with its count, in order) of every document, whose words stay together: no shuffle."""
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string()).dictionary_encode()
+            names = stems.dictionary
+            order = pa.compute.sort_indices(names).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            codes = place[stems.indices.to_numpy()][flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+            found, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(order), 1) + codes, return_counts=True)
+            rows = found // max(len(order), 1)
+            offsets = pa.array(np.searchsorted(rows, np.arange(len(sizes) + 1)), pa.int32())
+            terms = names.take(pa.array(order[found % max(len(order), 1)])) if len(order) else names
+            pairs = pa.StructArray.from_arrays([terms, pa.array(n.astype(np.int64))], ["term", "cnt"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(offsets, pairs)], names=["doc_id", "n", "terms"])
+
+    return docs.select("doc_id", words.alias("words")).mapInArrow(run, f"doc_id {kind}, n long, terms array<struct<term: string, cnt: long>>")
+
+
 def stem_sql(words: str) -> str:
     """CTEs ``st_0`` to ``stems`` (word, stem) over a relation ``words`` (word), for engines with RE2 and CTEs.
 

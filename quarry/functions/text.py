@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.stemmer import stem, stemmed
+from quarry.functions.stemmer import stem, stem_counts, stemmed
 
 #: Stop words, compared before stemming.
 STOPS = tuple(
@@ -35,6 +35,11 @@ def stems(text: Column) -> Column:
     return stemmed(F.filter(words(text), lambda w: ~w.isin(*STOPS)))
 
 
+def forward(docs: DataFrame) -> DataFrame:
+    """doc_id, n and terms (term, cnt) of every document: its stems are made once, however often they are used."""
+    return stem_counts(docs, F.filter(words(F.col("text")), lambda w: ~w.isin(*STOPS)))
+
+
 def terms(text: Column) -> Column:
     """The distinct stems."""
     return F.array_distinct(stems(text))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.search import numbered
+from quarry.session import ship
+
+#: Fixed value: bytes in a bitmap, as Spark builds them.
+BYTES = 4096
 
 
 def build(rows: DataFrame, *keys: str, column: str = "id") -> DataFrame:
@@ -22,6 +28,49 @@ def unite(bitmaps: DataFrame, *keys: str) -> DataFrame:
     return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def combine(a: DataFrame, b: DataFrame, how: str, *keys: str) -> DataFrame:
+    """keys, bucket and bits of two tables of bitmaps, by bucket: ``and``, ``or``, ``xor`` or ``and not``. Empty ones are left out.
+
+    A bucket that one side lacks is empty there, so only ``and`` may drop it before the join.
+    """
+    kind = {"and": "inner", "or": "full", "xor": "full", "and not": "left"}[how]
+    ship(a.sparkSession)
+
+    @F.arrow_udf("binary")
+    def merged(x: pa.Array, y: pa.Array) -> pa.Array:
+        none = bytes(BYTES)
+        left, right = (np.frombuffer(b"".join(v or none for v in side.to_pylist()), np.uint8).reshape(-1, BYTES) for side in (x, y))
+        out = {"and": left & right, "or": left | right, "xor": left ^ right, "and not": left & ~right}[how]
+        return pa.array([row.tobytes() for row in out], pa.binary())
+
+    both = a.select(*keys, "bucket", F.col("bits").alias("a")).join(b.select(*keys, "bucket", F.col("bits").alias("b")), [*keys, "bucket"], kind)
+    return both.select(*keys, "bucket", merged("a", "b").alias("bits")).where(F.bitmap_count("bits") > 0)
+
+
+def members(bitmaps: DataFrame, *keys: str) -> DataFrame:
+    """keys and id of every member: the reverse of ``build``."""
+    ship(bitmaps.sparkSession)
+
+    @F.arrow_udf("array<int>")
+    def places(bits: pa.Array) -> pa.Array:
+        held = [np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little")).astype(np.int32) for x in bits.to_pylist()]
+        return pa.array(held, pa.list_(pa.int32()))
+
+    size = BYTES * 8
+    # Positive ids start at the first bit of bucket 1; the others count down from 0.
+    value = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * size + F.col("at") + 1).otherwise(F.col("bucket") * size - F.col("at"))
+    return bitmaps.select(*keys, "bucket", F.explode(places("bits")).alias("at")).select(*keys, value.cast("long").alias("id"))
+
+
+def save(bitmaps: DataFrame, path: str) -> None:
+    """Store bitmaps by bucket, so that a range of ids reads its row groups only."""
+    bitmaps.repartitionByRange("bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").intersect(b.select("id"))
 

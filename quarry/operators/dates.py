@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 BITS = 21
 RANGE = 1 << BITS
 OPEN = RANGE - 1
+_NUMBER = re.compile(r"[ \t-\r]*([+-]?[0-9]+)")
 
 
 def day_of(text: str) -> int:
-    """Days since 1970-01-01 of ``YYYY-MM-DD``; months and days beyond their range run over into the next."""
+    """Days since 1970-01-01 of ``YYYY-MM-DD``; months and days beyond their range run over into the next, and of each part what follows its number is ignored."""
     if len(text) != 10 or text[4] != "-" or text[7] != "-":
         raise ValueError(f"not a date: {text!r}")
-    year, month, day = int(text[:4]), int(text[5:7]), int(text[8:])
+    numbers = [_NUMBER.match(part) for part in (text[:4], text[5:7], text[8:])]
+    if None in numbers:
+        raise ValueError(f"not a date: {text!r}")
+    year, month, day = (int(m[1]) for m in numbers)
     years, month = divmod(month - 1, 12)
     return (date(year + years, month + 1, 1) + timedelta(days=day - 1) - date(1970, 1, 1)).days
 

@@ -1,8 +1,8 @@
 """Exact nearest neighbours by Euclidean distance.
 
-Vectors and queries are packed in blocks, and each pair of blocks is one matrix product in one task; a block pair gives
-its queries' best candidates, and those are merged by query. Blocks are joined by number, so neither side is
-ever sent whole to every task.
+Points stay where they are and are read once for each round of queries, of which at most ``QUERY_BYTES`` go to every task. A
+task keeps each query's k best, skips blocks of points whose norms are too far from the query's, and measures the others by
+matrix products; what it sends is k rows a query, merged by query.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import ship
+from quarry.session import ship, stored
 
-#: Vectors and queries in a block.
-BLOCK = 4096
+#: Points in a block.
+BLOCK = 1024
+#: Vectors of the queries of a round.
+QUERY_BYTES = 32 << 20
 
 
 def l2(a: str | Column, b: str | Column) -> Column:
@@ -26,47 +28,82 @@ def l2(a: str | Column, b: str | Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda t, x: t + x))
 
 
-def _blocks(rows: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Rows packed in blocks by partition and place: ids and vectors of each as two arrays."""
-    numbered = rows.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL").withColumn("b", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
-    packed = numbered.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("x"))  # at most BLOCK rows
-    return packed.select(F.col("b").alias(f"{prefix}b"), F.col("x.id").alias(f"{prefix}ids"), F.flatten("x.v").alias(f"{prefix}v"))
+def nearest(points: DataFrame, queries: DataFrame, k: int = 1, key: str = "vec_id", limit: int = QUERY_BYTES) -> DataFrame:
+    """query_id, nn_id, distance and rank of each query's k nearest points other than itself; ties go to the lower id."""
+    found = candidates(points, queries, k, key, limit).where("nn_id IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "nn_id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "nn_id", F.round("d", 6).alias("distance"), "rank")
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = 1, key: str = "vec_id") -> DataFrame:
-    """query_id, nn_id, distance and rank of each query's k nearest points other than itself; ties go to the lower id."""
-    ship(points.sparkSession)
-    data, asked = _blocks(points, key, "p"), _blocks(queries, key, "q")
-    numbers = asked.select("qb").distinct()
-    grid = data.join(F.broadcast(numbers.agg(F.collect_list("qb").alias("all"))))  # a number for each block of queries
-    pairs = grid.withColumn("qb", F.explode("all")).drop("all").join(asked, "qb")
+def visited(points: DataFrame, queries: DataFrame, k: int = 1, key: str = "vec_id", limit: int = QUERY_BYTES) -> DataFrame:
+    """query_id and how many points were measured for it, by any task: what the bound on norms left."""
+    return candidates(points, queries, k, key, limit).where("visited IS NOT NULL").groupBy("query_id").agg(F.sum("visited").alias("visited"))
+
 
+def candidates(points: DataFrame, queries: DataFrame, k: int, key: str, limit: int) -> DataFrame:
+    """query_id, nn_id, d: of each task's points the k nearest to each query; and query_id, visited: how many it measured."""
+    spark = points.sparkSession
+    ship(spark)
+    shape = lambda rows: rows.select(F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL")
+    data, asked = shape(points), shape(queries)
+    width = asked.agg(F.max(F.size("v"))).first()[0] or 1
+    rounds = max(-(-asked.count() * 8 * width // limit), 1)
+    asked = stored(asked.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(rounds))), "queries") if rounds > 1 else asked.withColumn("round", F.lit(0))
+    out = None
+    for i in range(rounds):
+        got = asked.where(F.col("round") == i).toArrow()  # about ``limit`` bytes
+        ids = got["id"].to_numpy()
+        vectors = got["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, width))
+        found = _round(data, spark.sparkContext.broadcast((ids, vectors)), k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _round(data: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = shared.value
+        norms = np.sqrt((q * q).sum(1))
+        best_d, best_id = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        seen = np.zeros(len(q), np.int64)
         for batch in batches:
-            for row in range(batch.num_rows):
-                pids, qids = (np.array(batch.column(c)[row].values) for c in ("pids", "qids"))
-                p, q = (np.array(batch.column(c)[row].values).reshape(len(ids), -1) for c, ids in (("pv", pids), ("qv", qids)))
-                out: dict[str, list] = {"query_id": [], "nn_id": [], "d": []}
-                for first in range(0, len(q), 64):
-                    part = q[first : first + 64]
-                    rough = (part * part).sum(1)[:, None] - 2 * part @ p.T + (p * p).sum(1)[None, :]
-                    rough[qids[first : first + 64, None] == pids[None, :]] = np.inf
-                    for i, x in enumerate(part):
-                        few = min(k + 8, len(p))
-                        near = np.argpartition(rough[i], few - 1)[:few] if few < len(p) else np.arange(len(p))
-                        # The product is rounded, so all that are within its error of the k-th are measured again.
-                        edge = np.partition(rough[i], min(k, len(p)) - 1)[min(k, len(p)) - 1]
-                        if np.isfinite(edge):
-                            near = np.flatnonzero(rough[i] <= edge + 1e-9 * (1 + abs(edge) + (x * x).sum()))
-                        near = near[pids[near] != qids[first + i]]
-                        exact = np.sqrt(((p[near] - x) ** 2).sum(1))
-                        order = np.lexsort((pids[near], exact))[:k]
-                        out["query_id"] += [qids[first + i]] * len(order)
-                        out["nn_id"] += pids[near][order].tolist()
-                        out["d"] += exact[order].tolist()
-                if out["d"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["nn_id"], pa.int64()), pa.array(out["d"], pa.float64())], names=list(out))
-
-    found = pairs.select("pids", "pv", "qids", "qv").mapInArrow(run, "query_id long, nn_id long, d double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "nn_id"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "nn_id", F.round("d", 6).alias("distance"), "rank")
+            if not batch.num_rows or not len(q):
+                continue
+            pids = batch.column("id").to_numpy()
+            p = batch.column("v").flatten().to_numpy().reshape(len(pids), -1)
+            own = np.sqrt((p * p).sum(1))
+            order = np.argsort(own, kind="stable")
+            pids, p, own = pids[order], p[order], own[order]
+            for first in range(0, len(pids), BLOCK):
+                block = slice(first, first + BLOCK)
+                ids, x, low, high = pids[block], p[block], own[block][0], own[block][-1]
+                # Two points are at least as far apart as their norms; a little more is allowed for rounding.
+                gap = np.maximum(np.maximum(low - norms, norms - high), 0)
+                open_ = np.flatnonzero(gap <= best_d[:, -1] * (1 + 1e-9) + 1e-9)
+                for part in range(0, len(open_), 64):
+                    rows = open_[part : part + 64]
+                    rough = (norms[rows] ** 2)[:, None] - 2 * q[rows] @ x.T + (own[block] ** 2)[None, :]
+                    seen[rows] += len(ids)
+                    # The product is rounded, so all within its error of the k-th are measured again.
+                    slack = 1e-9 * (1 + norms[rows] ** 2 + high**2)
+                    if len(ids) > k + 1:  # one may be the query itself
+                        edge = np.partition(rough, k, 1)[:, k]
+                        edge = np.minimum(edge, np.square(best_d[rows, -1]))
+                    else:
+                        edge = np.square(best_d[rows, -1])
+                    for i, row in enumerate(rows):
+                        near = np.flatnonzero(rough[i] <= edge[i] + slack[i])
+                        near = near[ids[near] != qids[row]]
+                        if not len(near):
+                            continue
+                        d = np.concatenate([best_d[row], np.sqrt(((x[near] - q[row]) ** 2).sum(1))])
+                        known = np.concatenate([best_id[row], ids[near]])
+                        order = np.lexsort((known, d))[:k]
+                        best_d[row], best_id[row] = d[order], known[order]
+        at, rank = np.nonzero(np.isfinite(best_d))
+        none = pa.nulls(len(q), pa.int64())
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(best_id[at, rank]), pa.array(best_d[at, rank]), pa.nulls(len(at), pa.int64())], names=["query_id", "nn_id", "d", "visited"])
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(qids), none, pa.nulls(len(q), pa.float64()), pa.array(seen)], names=["query_id", "nn_id", "d", "visited"])
+
+    return data.mapInArrow(run, "query_id long, nn_id long, d double, visited long")

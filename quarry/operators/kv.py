@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Changes of a key that one fold takes at most, by seq; their results are folded in turn.
+from quarry.session import stored
+
+#: Changes of a key that one fold takes at most; their results are folded in turn.
 FOLD = 10_000
 #: Bits for each key and hashes of a Bloom filter.
 BITS_PER_KEY, HASHES = 10, 5
@@ -21,8 +23,11 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def compact(log: DataFrame) -> DataFrame:
-    """The log with the newest change of each key only; deletions stay, as older logs may be merged later."""
-    newest = log.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("x"))
+    """The log with the newest change of each key only; deletions stay, as older logs may be merged later.
+
+    Of changes with one seq, a put goes before a deletion and the greater value before the less.
+    """
+    newest = log.groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("x"))
     return newest.select("key", "x.seq", "x.op", "x.value")
 
 
@@ -57,17 +62,28 @@ def merge_sum(log: DataFrame) -> DataFrame:
 
 
 def merge(log: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
-    """key and value under any associative rule of (older, newer), each a value or null for a deletion.
+    """key and value under any associative rule of (older, newer), each a value or null for a deletion."""
+    return folded_log(log, rule).where("op = 'put'").select("key", "value")
+
 
-    Long histories are folded in stretches of seq, then the results in order, so no task holds a whole one.
+def folded_log(log: DataFrame, rule: Callable[[Column, Column], Column]) -> DataFrame:
+    """The log with one change for each key, by a rule as in ``merge``; a null result is a deletion.
+
+    Changes are sorted by range of key and seq, so a long history lies over many tasks. Stretches of FOLD rows in that order
+    are folded, and their results in turn, until a history fits one fold: no task holds a whole one.
     """
+
     def folded(rows: DataFrame, *by: str) -> DataFrame:
         kept = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("x"))
         rest = F.aggregate(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0))), F.element_at("x", 1)["value"], lambda a, e: rule(a, e["value"]))
-        return kept.select(*by, F.element_at("x", 1)["seq"].alias("seq"), rest.alias("value"))
-
-    rows = log.select("key", "seq", F.when(F.col("op") == "put", F.col("value")).alias("value"), F.expr(f"seq div {FOLD}").alias("part"))
-    return folded(folded(rows, "key", "part"), "key").where("value IS NOT NULL").select("key", "value")
+        return kept.select(*by, F.element_at("x", -1)["seq"].alias("seq"), rest.alias("value"))
+
+    rows = log.select("key", "seq", F.when(F.col("op") == "put", F.col("value")).alias("value"))
+    while not rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FOLD).isEmpty():
+        placed = rows.repartitionByRange("key", "seq").sortWithinPartitions("key", "seq").withColumn("at", F.monotonically_increasing_id())
+        placed = stored(placed, "changes")  # places stay what they are if a task is run again
+        rows = stored(folded(placed.withColumn("part", F.expr(f"at div {FOLD}")), "key", "part").drop("part"), "folded")
+    return folded(rows, "key").select("key", "seq", F.when(F.col("value").isNull(), "delete").otherwise("put").alias("op"), "value")
 
 
 def _places(column: str, bits: int) -> Column:

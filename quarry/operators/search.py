@@ -45,7 +45,7 @@ def by_postings(postings: DataFrame, docs: DataFrame, formula: str) -> DataFrame
 
 def postings(docs: DataFrame) -> DataFrame:
     """term and doc_id, once for each document that has the stem."""
-    return docs.select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).select("term", "doc_id")
+    return T.forward(docs).select("doc_id", F.explode("terms.term").alias("term")).select("term", "doc_id")
 
 
 def positions(docs: DataFrame, analysed: Column) -> DataFrame:
@@ -54,7 +54,7 @@ def positions(docs: DataFrame, analysed: Column) -> DataFrame:
 
 
 def phrase(docs: DataFrame, query: str) -> DataFrame:
-    """doc_id and pos of all occurrences of a phrase, overlapping ones too.
+    """doc_id and pos of all occurrences of a phrase, overlapping ones too, in order.
 
     The words of a document stay together, so there is no join: a position counts if the slice from it is the phrase.
     """
@@ -64,7 +64,7 @@ def phrase(docs: DataFrame, query: str) -> DataFrame:
     listed = F.array(*map(F.lit, wanted))
     held = docs.select("doc_id", T.words(F.col("text")).alias("w")).where(F.array_contains("w", wanted[0]) & (F.size("w") >= len(wanted)))
     starts = F.filter(F.sequence(F.lit(0), F.size("w") - len(wanted)), lambda i: (F.element_at("w", i + 1) == wanted[0]) & (F.slice("w", i + 1, len(wanted)) == listed))
-    return held.select("doc_id", F.explode(starts).alias("pos")).select("doc_id", F.col("pos").cast("long").alias("pos"))
+    return held.select("doc_id", F.explode(starts).alias("pos")).select("doc_id", F.col("pos").cast("long").alias("pos")).orderBy("doc_id", "pos")
 
 
 def phrase_by_postings(places: DataFrame, query: str) -> DataFrame:
@@ -75,7 +75,7 @@ def phrase_by_postings(places: DataFrame, query: str) -> DataFrame:
     offsets = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).cast("long").alias("i")) for i, w in enumerate(wanted)))
     own = places.where(F.col("term").isin(wanted)).withColumn("at", F.explode(F.filter(offsets, lambda x: x["w"] == F.col("term"))))
     moved = own.select("doc_id", (F.col("pos") - F.col("at.i")).alias("pos"))
-    return moved.groupBy("doc_id", "pos").count().where(F.col("count") == len(wanted)).select("doc_id", "pos")
+    return moved.groupBy("doc_id", "pos").count().where(F.col("count") == len(wanted)).select("doc_id", "pos").orderBy("doc_id", "pos")
 
 
 def like(pattern: str) -> str | None:
@@ -87,11 +87,19 @@ def like(pattern: str) -> str | None:
 
 
 def wildcard(docs: DataFrame, pattern: str) -> DataFrame:
-    """doc_id and pos of the words that a pattern matches as a whole."""
-    wanted = like(pattern)
-    if wanted is None:
+    """doc_id and pos of the words that a pattern matches as a whole, in order."""
+    if like(pattern) is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("pos")).where("false")
-    return positions(docs, T.spaced(F.col("text"))).where(_matches("term", pattern)).select("doc_id", "pos")
+    return wildcard_by_postings(positions(docs, T.spaced(F.col("text"))), pattern)
+
+
+def wildcard_by_postings(places: DataFrame, pattern: str) -> DataFrame:
+    """The same over (term, doc_id, pos): a fixed beginning of the pattern reaches the scan, which skips the row groups of other terms."""
+    if like(pattern) is None:
+        return places.select("doc_id", "pos").where("false")
+    first = pattern.translate(str.maketrans(T._UPPER, T._LOWER)).split("*")[0]
+    own = places.where(F.col("term").startswith(first)) if first else places
+    return own.where(_matches("term", pattern)).select("doc_id", "pos").orderBy("doc_id", "pos")
 
 
 def _matches(column: str, pattern: str) -> Column:

@@ -119,6 +119,17 @@ def bloom_prefilter(spark, sf):
     return kv.bloom_semi_join(events.select("event_id", "user_id"), keys, "user_id")
 
 
+@query(f"WITH {STATE} SELECT key, value FROM state WHERE op = 'put'")
+def kv_store(spark, sf):
+    """The log put in ten batches, so that levels fill and are merged; read from the stored runs."""
+    return S.store(spark, sf).all()
+
+
+@query(f"WITH {STATE}, asked AS (SELECT unnest([1, 2, 3, 5, 8, -1]) AS key) SELECT CAST(a.key AS BIGINT) AS key, s.value FROM asked a LEFT JOIN state s ON a.key = s.key AND s.op = 'put'")
+def kv_store_get(spark, sf):
+    return S.store(spark, sf).get(1, 2, 3, 5, 8, -1)
+
+
 @query(f"WITH {STATE} SELECT key, value FROM state WHERE op = 'put'")
 def stream_kv_latest(spark, sf):
     events = spark.readStream.schema(S.table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
@@ -186,8 +197,7 @@ for _name, (_formula, _condition) in FORMULAS.items():
 
 @query(_SQL["bool_formula"])
 def bool_by_postings(spark, sf):
-    docs = S.documents(spark, sf)
-    return search.by_postings(search.postings(docs), docs, FORMULAS["bool_formula"][0])
+    return S.index(spark, sf, "stems").boolean(FORMULAS["bool_formula"][0])
 
 
 # --- dates ---
@@ -229,23 +239,22 @@ def created_in_range(spark, sf):
     return S.order_intervals(spark, sf).where(dates.within(F.col("lo"), dates.day_of("1997-06-01"), dates.day_of("1997-06-30"))).select("o_orderkey")
 
 
-RANGES = "SELECT c_custkey AS range_id, 8100 + c_custkey * 37 % 2000 AS lo, 8100 + c_custkey * 37 % 2000 + c_custkey % 3 AS hi FROM customer WHERE c_nationkey = 7"
+RANGES = "SELECT c_custkey AS range_id, 8100 + c_custkey * 37 % 2000 AS lo, 8100 + c_custkey * 37 % 2000 + c_custkey % 3 AS hi FROM customer"
 
 
-@query(f"WITH {INTERVALS}, r AS ({RANGES}) SELECT o_orderkey, r.range_id FROM iv JOIN r ON iv.lo <= r.hi AND iv.hi >= r.lo WHERE iv.lo <= iv.hi")
-def interval_join(spark, sf):
-    rows = S.table(spark, sf, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("range_id"), (8100 + F.col("c_custkey") * 37 % 2000).alias("lo"), (8100 + F.col("c_custkey") * 37 % 2000 + F.col("c_custkey") % 3).alias("hi"))
-    return dates.interval_join(S.order_intervals(spark, sf), rows, "o_orderkey")
+def _ranges(spark, sf):
+    return S.table(spark, sf, "customer").select(F.col("c_custkey").alias("range_id"), (8100 + F.col("c_custkey") * 37 % 2000).alias("lo"), (8100 + F.col("c_custkey") * 37 % 2000 + F.col("c_custkey") % 3).alias("hi"))
 
 
-ALL_RANGES = "SELECT c_custkey AS range_id, 8100 + c_custkey * 37 % 2000 AS lo, 8100 + c_custkey * 37 % 2000 + c_custkey % 3 AS hi FROM customer"
+@query(f"WITH {INTERVALS}, r AS ({RANGES}) SELECT o_orderkey, r.range_id FROM iv JOIN r ON iv.lo <= r.hi AND iv.hi >= r.lo WHERE iv.lo <= iv.hi")
+def interval_join(spark, sf):
+    return dates.interval_join(S.order_intervals(spark, sf), _ranges(spark, sf), "o_orderkey")
 
 
-@query(f"WITH {INTERVALS}, r AS ({ALL_RANGES}) SELECT r.range_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM iv JOIN r ON iv.lo <= r.hi AND iv.hi >= r.lo WHERE iv.lo <= iv.hi GROUP BY r.range_id")
+@query(f"WITH {INTERVALS}, r AS ({RANGES}) SELECT r.range_id, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM iv JOIN r ON iv.lo <= r.hi AND iv.hi >= r.lo WHERE iv.lo <= iv.hi GROUP BY r.range_id")
 def interval_join_all(spark, sf):
     """The join over every customer's range; pairs are joined one by one and only then counted, so that the result stays small."""
-    rows = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("range_id"), (8100 + F.col("c_custkey") * 37 % 2000).alias("lo"), (8100 + F.col("c_custkey") * 37 % 2000 + F.col("c_custkey") % 3).alias("hi"))
-    found = dates.interval_join(S.order_intervals(spark, sf), rows, "o_orderkey")
+    found = dates.interval_join(S.order_intervals(spark, sf), _ranges(spark, sf), "o_orderkey")
     return found.groupBy("range_id").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -281,8 +290,9 @@ def posting_list(spark, sf):
 
 
 def _phrase_sql(*words: str) -> str:
-    joins = "".join(f" JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos = t0.pos + {i} AND t{i}.word = '{w}'" for i, w in enumerate(words) if i)
-    return f"WITH {T.WORDS_SQL} SELECT t0.doc_id, t0.pos FROM tok t0{joins} WHERE t0.word = '{words[0]}'"
+    here = " AND ".join(f"l[i + {k + 1}] = '{w}'" for k, w in enumerate(words))
+    return f"""WITH l AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w)) AS l FROM documents)
+        SELECT doc_id, CAST(unnest(list_filter(range(len(l)), lambda i: {here})) AS BIGINT) AS pos FROM l"""
 
 
 for _name, _words in (("phrase_1", ("the",)), ("phrase_2", ("the", "the")), ("phrase_2_mixed", ("ci", "n")), ("phrase_3", ("the", "the", "the"))):
@@ -292,7 +302,7 @@ for _name, _words in (("phrase_1", ("the",)), ("phrase_2", ("the", "the")), ("ph
 
 @query(_phrase_sql("ci", "n"))
 def phrase_by_postings(spark, sf):
-    return search.phrase_by_postings(search.positions(S.documents(spark, sf), T.words(F.col("text"))), "ci n")
+    return S.index(spark, sf, "words").phrase("ci n")
 
 
 # --- wildcards ---
@@ -315,8 +325,12 @@ def kgram_index(spark, sf):
 
 @query(f"WITH {T.SPACED_SQL}, v AS (SELECT DISTINCT term, '$' || term || '$' AS p FROM tok) SELECT term FROM v WHERE contains(p, '$th') AND contains(p, 'ing') AND contains(p, 'ng$')")
 def kgram_candidates(spark, sf):
-    terms = search.positions(S.documents(spark, sf), T.spaced(F.col("text"))).select("term").distinct()
-    return search.kgram_candidates(search.kgrams(terms), "th*er*ing")
+    return search.kgram_candidates(S.index(spark, sf, "spaced").grams, "th*er*ing")
+
+
+@query(f"WITH {T.SPACED_SQL} SELECT doc_id, pos FROM tok WHERE term LIKE 'th%er%ing'")
+def wildcard_by_kgrams(spark, sf):
+    return S.index(spark, sf, "spaced").wildcard("th*er*ing")
 
 
 for _name, _pattern, _like in (
@@ -373,12 +387,12 @@ _SCORED = f"scored AS (SELECT doc_id, round(sum(w * m), 6) AS score FROM w JOIN
 
 @query(f"WITH {TF}, {_Q}, {_SCORED} SELECT doc_id, score FROM scored")
 def tfidf_search(spark, sf):
-    return rank.tfidf_search(S.documents(spark, sf), _ASKED)
+    return S.rank_index(spark, sf).tfidf_search(_ASKED)
 
 
 @query(f"WITH {TF}, {_Q}, {_SCORED} SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10")
 def tfidf_topk(spark, sf):
-    return rank.tfidf_search(S.documents(spark, sf), _ASKED, top=10)
+    return S.rank_index(spark, sf).tfidf_search(_ASKED, top=10)
 
 
 @query(f"WITH {TF} SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM idf")
@@ -400,6 +414,17 @@ def vsm_doc_norms(spark, sf):
 @query(f"""WITH {TF}, {_Q}, qv AS (SELECT term, m / 3.0 * idf AS v FROM q JOIN idf USING (term)), norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
     SELECT doc_id, round(sum(w * v) / (max(norm) * (SELECT sqrt(sum(v * v)) FROM qv)), 6) AS score FROM w JOIN qv USING (term) JOIN norms USING (doc_id) GROUP BY doc_id""")
 def vsm_search(spark, sf):
+    return S.rank_index(spark, sf).vsm_search(_ASKED)
+
+
+@query(_SQL["tfidf_search"])
+def tfidf_scan(spark, sf):
+    """Without an index: one scan for the query's terms."""
+    return rank.tfidf_search(S.documents(spark, sf), _ASKED)
+
+
+@query(_SQL["vsm_search"])
+def vsm_scan(spark, sf):
     return rank.vsm_search(S.documents(spark, sf), _ASKED)
 
 
@@ -500,6 +525,12 @@ def set_flip(spark, sf):
     return bitmap.flip(S.documents(spark, sf).select(F.col("doc_id").alias("id")), 100, 500)
 
 
+_BITMAPS = {"and": "SELECT id FROM good INTERSECT SELECT id FROM toxic", "xor": "(SELECT id FROM good EXCEPT SELECT id FROM toxic) UNION (SELECT id FROM toxic EXCEPT SELECT id FROM good)", "and not": "SELECT id FROM good EXCEPT SELECT id FROM toxic", "or": "SELECT id FROM good UNION SELECT id FROM toxic"}
+for _how, _rows in _BITMAPS.items():
+    _QUERIES[f"bitmap_{_how.replace(' ', '_')}"] = lambda spark, sf, how=_how: bitmap.members(bitmap.combine(bitmap.build(S.labelled(spark, sf, "quality")), bitmap.build(S.labelled(spark, sf, "toxic")), how))
+    _SQL[f"bitmap_{_how.replace(' ', '_')}"] = f"WITH {SETS} {_rows}"
+
+
 _SIDES = f"WITH {SETS}, f AS (SELECT coalesce(g.id, t.id) AS id, g.id IS NOT NULL AS a, t.id IS NOT NULL AS b FROM good g FULL JOIN toxic t ON g.id = t.id)"
 
 

@@ -13,7 +13,7 @@ from quarry.session import forget_at_exit, shared_folder
 
 def latest(log: DataFrame) -> DataFrame:
     """key, seq, op and value of the newest change of each key of a stream: an aggregation whose state holds one row a key."""
-    newest = log.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("x"))
+    newest = log.groupBy("key").agg(F.max(F.struct("seq", "op", "value")).alias("x"))
     return newest.select("key", "x.seq", "x.op", "x.value")
 
 

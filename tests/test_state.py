@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import kv
+from quarry.sources.store import Store
 from quarry.streaming import state
 
 
@@ -17,9 +18,8 @@ def held(df):
 
 @pytest.mark.parametrize(
     ("ops", "expected"),
-    [([("put", "a", 1), ("put", "b", 2), ("put", "c", 3), ("delete", "b", None)], {"a": 1, "c": 3}), ([], {}), ([("delete", "x", None), ("put", "x", 42)], {"x": 42}),
-     ([("put", "key", i) for i in (1, 2, 3, 4)], {"key": 4}), ([("put", "key", 100), ("put", "key", 200), ("delete", "key", None), ("put", "other", 999)], {"other": 999}),
-     ([("put", "a", 1), ("delete", "a", None), ("put", "a", 99)], {"a": 99})],
+    [([("put", "oar", 4), ("put", "mast", 5), ("delete", "oar", None), ("put", "keel", 6)], {"mast": 5, "keel": 6}), ([], {}), ([("delete", "hull", None), ("put", "hull", 7)], {"hull": 7}),
+     ([("put", "hull", i) for i in range(9)], {"hull": 8}), ([("put", "hull", 1), ("delete", "hull", None), ("delete", "hull", None)], {}), ([("put", "oar", 1), ("delete", "oar", None), ("put", "oar", 2), ("put", "keel", 3)], {"oar": 2, "keel": 3})],
 )
 def test_latest(spark, ops, expected):
     changes = log(spark, ops)
@@ -63,6 +63,70 @@ def test_merges(spark):
         kv.merge_union(deleted)
 
 
+def test_equal_seqs_have_one_outcome(spark):
+    rows = spark.createDataFrame([("a", 1, "put", 3), ("a", 1, "delete", None), ("a", 1, "put", 7), ("b", 2, "delete", None)], "key string, seq long, op string, value int")
+    assert held(kv.latest(rows.repartition(4))) == held(kv.latest(rows.orderBy(F.desc("value")))) == {"a": 7}
+
+
+def test_long_histories_are_folded_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(kv, "FOLD", 5)
+    rng = random.Random(8)
+    ops = [("hot" if i % 3 else f"k{rng.randrange(4)}", i * 10**9, "put", rng.randrange(10)) for i in range(200)]
+    rows = spark.createDataFrame(ops, "key string, seq long, op string, value int").withColumn("value", F.col("value").cast("string")).repartition(3)
+    expected: dict = {}
+    for k, _, _, v in ops:
+        expected[k] = expected.get(k, "") + str(v)
+    assert held(kv.merge(rows, lambda old, new: F.concat(old, new))) == expected
+
+
+@pytest.mark.parametrize("growth", [2, 3])
+def test_store_against_a_dictionary(spark, tmp_path, growth):
+    rng, store, model, seq = random.Random(growth), Store(spark, str(tmp_path / "s"), growth), {}, 0
+    with pytest.raises(ValueError):
+        store.all()
+    for _ in range(7):
+        ops = []
+        for _ in range(rng.randint(1, 30)):
+            k, seq = f"k{rng.randrange(12)}", seq + 1
+            if rng.random() < 0.3:
+                ops.append((k, seq, "delete", None))
+                model.pop(k, None)
+            else:
+                ops.append((k, seq, "put", rng.randrange(1000)))
+                model[k] = ops[-1][3]
+        store.put(spark.createDataFrame(ops, "key string, seq long, op string, value int"))
+        assert all(len(level) < growth for level in store.levels)
+    assert held(store.all()) == model and len(store.levels) > 1
+    assert held(Store(spark, str(tmp_path / "s")).get("k1", "k2", "none")) == {k: model.get(k) for k in ("k1", "k2", "none")}
+    assert held(store.scan("k3", "k5")) == {k: v for k, v in model.items() if "k3" <= k <= "k5"}
+    store.compact()
+    store.vacuum()
+    assert held(store.all()) == model and sum(map(len, store.levels)) == 1
+    plan = store.log().where("key = 'k1'")._jdf.queryExecution().toString()
+    assert "EqualTo(key,k1)" in plan
+
+
+def test_store_with_a_rule(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), 2, lambda old, new: F.coalesce(old + new, new, old))
+    for i in range(5):
+        store.put(spark.createDataFrame([("a", 2 * i, "put", i), ("b", 2 * i + 1, "put", 1)], "key string, seq long, op string, value int"))
+    assert held(store.all()) == {"a": 10, "b": 5}
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "t"), 1)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from datetime import datetime
+
+    times = ["2021-03-01 10:05:00", "2021-03-01 10:40:00", "2021-03-01 15:00:00", "2021-03-01 14:10:00", "2021-03-01 10:50:00"]
+    for i, t in enumerate(times):  # a file a batch, in this order
+        spark.createDataFrame([(datetime.fromisoformat(t), "a")], "ts timestamp, kind string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+    counted = state.drain(state.windowed_counts(stream, "ts", "kind", "1 hour", "2 hours"), "update")
+    newest = {r.start.hour: r.n for r in counted.groupBy("start").agg(F.max_by("n", "batch").alias("n")).collect()}
+    assert newest == {10: 2, 15: 1, 14: 1}  # 10:50 came two batches after 15:00 had moved the watermark to 13:00
+
+
 def test_bloom_has_no_false_negatives(spark):
     rows, keys = spark.range(2000).withColumnRenamed("id", "k"), spark.range(0, 2000, 7).withColumnRenamed("id", "k")
     assert sorted(r.k for r in kv.bloom_semi_join(rows, keys, "k").collect()) == list(range(0, 2000, 7))

@@ -12,8 +12,8 @@ def points(spark, rows, first=0):
 
 @pytest.mark.parametrize(
     ("data", "query", "expected"),
-    [([(0, 0), (10, 10)], (1, 1), 0), ([(0, 0), (10, 10)], (9, 9), 1), ([(3, 4), (7, 8), (1, 1)], (7, 8), 1), ([(1,), (5,), (10,), (3,)], (4.5,), 1), ([(1,), (5,), (10,), (3,)], (1.4,), 0),
-     ([(0, 0, 0), (1, 1, 1), (5, 5, 5), (10, 10, 10)], (4.9, 4.9, 4.9), 2), ([(-5, -5), (-1, -1), (2, 2)], (-0.5, -0.5), 1), ([(i, i) for i in range(100)], (42.1, 42.1), 42), ([(0, 100), (1, 0), (-1, 0)], (0, 0), 1)],
+    [([(2, 2), (-6, 8)], (1, 3), 0), ([(2, 2), (-6, 8)], (-5, 5), 1), ([(9, 4), (0, 1), (6, 6)], (0, 1), 1), ([(2,), (8,), (30,), (5,)], (6.2,), 3), ([(2,), (8,), (30,), (5,)], (100,), 2),
+     ([(1, 2, 3), (4, 4, 4), (-3, 0, 3)], (3.5, 3, 4), 1), ([(i * i, -i) for i in range(60)], (900.4, -30.2), 30), ([(0, 7), (7, 0), (0, -7)], (0, 0), 0)],
 )
 def test_nearest(spark, data, query, expected):
     found = knn.nearest(points(spark, data), points(spark, [query], 1000)).collect()
@@ -31,6 +31,16 @@ def test_nearest_against_all_distances(spark):
         assert [r.nn_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == 5000 + q] == order.tolist()
 
 
+def test_rounds_of_queries_and_bounds_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    data = points(spark, rng.normal(0, 1, (3000, 4)) * rng.exponential(20, (3000, 1))).repartition(3)
+    asked = points(spark, rng.normal(0, 10, (40, 4)), 9000)
+    whole = sorted(knn.nearest(data, asked, 4).collect())
+    assert whole == sorted(knn.nearest(data, asked, 4, limit=300).collect()) and len(whole) == 160
+    seen = {r.query_id: r.visited for r in knn.visited(data, asked, 4).collect()}
+    assert len(seen) == 40 and all(4 <= n <= 3000 for n in seen.values())
+
+
 def test_nearest_of_nothing(spark):
     none = points(spark, [(1, 2)]).where("false")
     assert knn.nearest(none, points(spark, [(1, 2)])).count() == 0
@@ -47,8 +57,8 @@ def seq(spark, data):
 
 
 def test_ranks_and_selects(spark):
-    rng = random.Random(12345)
-    for data in ([3, 1, 4, 1, 5, 9, 2, 6], [1, 2, 1, 3, 1, 2, 1], [0] * 4, [7], [rng.randrange(16) for _ in range(200)]):
+    rng = random.Random(77)
+    for data in ([4, 0, 4, 4, 2, 0], [6] * 5, [3], [rng.randrange(9) for _ in range(150)], [0, 31] * 20):
         df = seq(spark, data)
         assert sequence.size(df) == len(data)
         assert sequence.access(df, len(data) - 1).first().symbol == data[-1]
@@ -56,8 +66,8 @@ def test_ranks_and_selects(spark):
         for k in (1, 2, 4):
             at = {s: [i for i, x in enumerate(data) if x == s] for s in set(data)}
             assert {r.symbol: r.pos for r in sequence.select(df, k).collect()} == {s: p[k - 1] if len(p) >= k else len(data) for s, p in at.items()}
-    df = seq(spark, [1, 2, 1, 3, 1, 2, 1])
-    assert [sequence.rank(df, 1, i) for i in (0, 3, 7)] == [0, 2, 4] and sequence.rank(df, 8, 7) == 0
+    df = seq(spark, [5, 0, 5, 5, 2, 0])
+    assert [sequence.rank(df, 5, i) for i in (0, 3, 6)] == [0, 2, 3] and sequence.rank(df, 8, 6) == 0
 
 
 def test_wrong_alphabets(spark):
@@ -101,3 +111,14 @@ def test_bitmaps_count_every_id(spark):
     assert bitmap.cardinality(maps).first().n == 100000
     both = maps.unionByName(bitmap.build(spark.range(50000, 150000)))
     assert bitmap.cardinality(bitmap.unite(both)).first().n == 150000
+
+
+@pytest.mark.parametrize(("how", "expected"), [("and", set.intersection), ("or", set.union), ("xor", set.symmetric_difference), ("and not", set.difference)])
+def test_bitmaps_combine_by_bucket(spark, tmp_path, how, expected):
+    rng = random.Random(4)
+    a, b = ({rng.choice([-70000, 0, 32768, 500000]) + rng.randrange(300) for _ in range(400)} for _ in range(2))
+    left, right = bitmap.build(ids(spark, a)), bitmap.build(ids(spark, b))
+    bitmap.save(left, str(tmp_path / "left"))
+    both = bitmap.combine(bitmap.load(spark, str(tmp_path / "left")), right, how)
+    assert listed(bitmap.members(both)) == sorted(expected(a, b))
+    assert listed(bitmap.members(bitmap.combine(left, left, "xor"))) == []
