@@ -177,6 +177,70 @@ def test_extraction(spark):
     assert html_text.extract(PAGE[: PAGE.index("Last.")], html_text.PLAIN) == TEXT.removesuffix("\nLast.")
 
 
+def variants():
+    """Layouts in which an element seems to hold the page, or a content name has a listed word in it."""
+    yield from (PAGE, PAGE.replace("ARTICLE", "div"), f"<form action=x>{PAGE}</form>", PAGE.replace("</nav>", ""), PAGE.replace("</footer>", ""))
+    yield PAGE.replace('<body class="with-sidebar">', "<body><form id=aspnetForm>").replace("</body>", "</form></body>")
+    yield PAGE.replace('class="post has-comments"', 'class="post search-result"')
+    yield PAGE.replace('ARTICLE class="post has-comments"', 'div class="post search-result"').replace("</ARTICLE>", "</div>")
+    yield PAGE.replace("<p>Last.</p>", '<p id="notice-of-appeal">Last.</p>').replace("<p>Second", '<p id="cookie-recipes">Second')
+    yield PAGE.replace("<footer>", f"<section class=comments>{'<p>I say a lot of things here about this.</p>' * 40}</section><footer>")
+    yield PAGE.replace("<footer>", f"<ol class='comment-list'>{'<li><article><p>I say things.</p></article></li>' * 3}</ol><footer>")
+    yield PAGE.replace('<div class="ad">', "<main><div class=content><div class='ad'>").replace("</ARTICLE>", "</ARTICLE></div></main>")
+    yield PAGE.replace("<p>Last.</p>", "<p hidden>Not seen</p><div style='display: none'>nor this</div><p>Last.</p>")
+
+
+@pytest.mark.parametrize("html", list(variants()))
+def test_no_element_swallows_the_page(html):
+    learned = html_text.weights_of(sum((html_text.tallied(page(random.Random(i))[0]) for i in range(30)), Counter()))
+    for weights in (html_text.PLAIN, learned):
+        assert html_text.extract(html, weights) == TEXT
+
+
+def page(rng):
+    """A page of random layout and its text."""
+    words = "sea boat net fish stone wind calm old silver wet slow rope harbour tide".split()
+    say = lambda a, b: " ".join(rng.choices(words, k=rng.randint(a, b)))
+    lines, body = [say(2, 6)], []
+    body.append(f"<h1>{lines[0]}</h1>")
+    for _ in range(rng.randint(3, 8)):
+        kind = rng.randrange(7)
+        if kind < 4:
+            a, b, c = say(8, 40), say(1, 3), say(1, 5)
+            body.append(rng.choice([f"<p>{a} <b>{b}</b> {c}</p>", f"<p>{a}\n{b}   {c}", f"<p>{a} <a href=x>{b}</a> {c}</p>", f"<div><p>{a} {b} {c}</p></div>"]))
+            lines.append(f"{a} {b} {c}")
+        elif kind == 4:
+            items = [say(3, 8) for _ in range(3)]
+            body.append(f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>")
+            lines += items
+        elif kind == 5:
+            body.append(rng.choice([f"<aside>{say(2, 20)}</aside>", f"<div class='ad-slot'>{say(2, 20)}</div>", f"<form><label>{say(1, 3)}</label><input></form>", "<script>var x = '<p>';</script>", "<!-- <p>no</p> -->", f"<div class='social share'>{say(2, 5)}</div>"]))
+        else:
+            text = say(9, 20)
+            body.append(f"<blockquote>{text}</blockquote>")
+            lines.append(text)
+    end = say(8, 12)
+    article = f"{''.join(body)}<p>{end}</p>"
+    lines.append(end)
+    article = f"<article class='{rng.choice(['', 'post', 'hentry has-sidebar'])}'>{article}</article>"
+    before = "".join(rng.sample([f"<nav><ul><li><a href=/>{say(1, 2)}</a></li><li><a href=/a>{say(1, 2)}</a></li></ul></nav>", f"<header><p>{say(2, 5)}</p></header>", f"<div class=ad>{say(3, 30)}</div>", f"<div id=cookie-notice><p>{say(5, 20)}</p></div>"], rng.randint(0, 4)))
+    after = "".join(rng.sample([f"<footer>&copy; {say(2, 5)}</footer>", f"<div class=sidebar><p>{say(5, 60)}</p></div>", f"<section id=comments><p>{say(5, 90)}</p></section>"], rng.randint(0, 3)))
+    html = f"<html><head><title>{say(1, 3)}</title></head><body>{before}{article}{after}</body></html>"
+    if rng.random() < 0.3:
+        html = html.replace("<body>", "<body><form>").replace("</body>", "</form></body>")
+    if rng.random() < 0.3:
+        html = html.replace("</nav>", "")
+    return html, "\n".join(" ".join(x.split()) for x in lines)
+
+
+def test_extraction_from_random_layouts(spark):
+    rng = random.Random(14)
+    made = [page(rng) for _ in range(300)]
+    rows = spark.createDataFrame([(i, "u", html) for i, (html, _) in enumerate(made)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.texts(rows).collect()}
+    assert [found[i] for i in range(300)] == [text for _, text in made]
+
+
 def test_best_stretch():
     rng = random.Random(5)
     for _ in range(200):
