@@ -1,15 +1,18 @@
 """Token counts of a tokenizer, without keeping the tokens.
 
-By default the counts are those of the shipped ``piece_bpe_32k.model``: a BPE model with byte fallback, so its own
-encoder applies its merges to each word, and a character without a piece is as many tokens as it has bytes.
+An Aho-Corasick automaton lists the vocabulary's pieces in a word; dynamic programming over its positions carries the
+number of pieces, never the pieces. What decides between pieces that end at one position is the tokenizer's own rule.
 
-With a unigram vocabulary (pieces and log probabilities) as a parameter, the counts are those of that unigram
-tokenizer. An Aho-Corasick automaton lists the vocabulary's pieces in a word; dynamic programming over its
-positions keeps the best score and the number of pieces behind it. Ties go as in the tokenizer: of paths
+With a unigram vocabulary (pieces and log probabilities) as a parameter, that is the best score: of paths
 with equal scores to a position, the one whose last piece starts first stays; a character
 without a piece of its own is an unknown one, scored below all pieces, and neighbouring unknown ones are one
 token.
 
+No unigram vocabulary ships, and none is trained, so by default the counts are those of the shipped
+``piece_bpe_32k.model``, a BPE model whose scores are ranks of merges. There exactly one piece that ends at a position goes on from the pieces before
+it: the one that would stay apart from the last of them if the two were merged by rank, which the ways the two are built of
+smaller pieces tell. A character without a piece is as many tokens as it has bytes.
+
 Words start with the mark that stands for a space, and no piece but runs of marks
 goes across one, so words are counted apart and each worker keeps the counts of the words it has met.
 
@@ -19,8 +22,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,8 @@ from quarry.llm.common import Kept, map_batches, with_text, worker_cache
 SPACE, BELOW = "▁", 10.0
 #: Words whose counts a worker keeps in each of two generations, and their greatest length.
 CACHE, CACHE_CHARS = 200_000, 64
+#: Pairs of pieces a worker knows at most.
+PAIRS = 500_000
 
 
 def default_model() -> str:
@@ -41,7 +46,7 @@ def default_model() -> str:
 
 
 def default_vocabulary() -> tuple[tuple[str, float], ...]:
-    """Pieces and scores of the public model. Its scores are ranks of merges: as a unigram vocabulary they match no tokenizer."""
+    """Pieces and scores of the public model; the scores are ranks of merges."""
     return _read(default_model())
 
 
@@ -76,24 +81,106 @@ class _ByWord:
         self.known.forget_long(fresh, CACHE_CHARS)
         return out
 
-class Encoder(_ByWord):
-    """Counts of words by a SentencePiece model's own rules, byte fallback included."""
 
-    def __init__(self, model: bytes) -> None:
-        from sentencepiece import SentencePieceProcessor
+@dataclass(frozen=True)
+class Merges:
+    """Pieces of a BPE vocabulary in the order of their merges, and the two places each is made of: -1 and -1 for a character of its own.
+
+    ``lone`` are the characters that stand in pieces without being one; they have the places after the last piece.
+    """
+
+    pieces: tuple[str, ...]
+    halves: tuple[tuple[int, int], ...]
+    lone: tuple[str, ...]
+
+    @classmethod
+    def of(cls, vocabulary: tuple[tuple[str, float], ...]) -> Merges:
+        """Pieces that their own merges don't lead to are never tokens of more than themselves, so they are left out."""
+        ordered = tuple(p for p, _ in sorted(vocabulary, key=lambda x: -x[1]))
+        rank = {p: i for i, p in enumerate(ordered)}
+        lone = tuple(sorted({c for p in ordered for c in p} - rank.keys()))
+        place = rank | {c: len(ordered) + i for i, c in enumerate(lone)}
+        halves = []
+        for piece in ordered:
+            parts, last = list(piece), (-1, -1)
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: (rank.get(parts[i] + parts[i + 1], len(rank)), i))
+                if parts[best] + parts[best + 1] not in rank:
+                    break
+                last = place[parts[best]], place[parts[best + 1]]
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            halves.append(last if len(parts) == 1 else (-2, -2))
+        return cls(ordered, tuple(halves), lone)
+
+
+class MergeCounter(_ByWord):
+    """Counts of words under a BPE vocabulary with byte fallback."""
+
+    def __init__(self, merges: Merges) -> None:
+        import ahocorasick
 
         super().__init__()
-        self.model = SentencePieceProcessor(model_proto=model)
-        for i in range(self.model.get_piece_size()):
-            _check_piece(self.model.id_to_piece(i))
-        self.mark = len(self.model.encode("a ")) - len(self.model.encode("a"))
+        self.halves = merges.halves
+        self.place = {p: i for i, p in enumerate((*merges.pieces, *merges.lone))}
+        self.rank = {p: i for i, p in enumerate(merges.pieces)}
+        self.names = (*merges.pieces, *merges.lone)
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.n = len(merges.pieces)
+        self.automaton = ahocorasick.Automaton()
+        for i, (piece, (left, _)) in enumerate(zip(merges.pieces, merges.halves, strict=True)):
+            _check_piece(piece)
+            if left > -2:
+                self.automaton.add_word(piece, (len(piece), i))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+        self.apart: dict[int, bool] = {}
+
+    def _edge(self, place: int, side: int) -> list[tuple[str, int]]:
+        """The pieces at one edge of a piece, from itself down to a character, each with the rank at which it is merged further."""
+        out = self.edges[side].get(place)
+        if out is None:
+            out, at, above = [], place, self.n + 1
+            while at < self.n and self.halves[at][0] >= 0:
+                out.append((self.names[at], above))
+                at, above = self.halves[at][side], at
+            out.append((self.names[at], above))
+            self.edges[side][place] = out
+        return out
 
-    def count(self, word: str) -> int:
-        return self.count_all([word])[0]
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether no merge across the boundary of two neighbouring pieces comes before those that build them; of equal ranks the left one is first."""
+        key = a * (len(self.names) + 1) + b
+        found = self.apart.get(key)
+        if found is None:
+            found = self._apart(self._edge(a, 1), self._edge(b, 0))
+            if len(self.apart) >= PAIRS:
+                self.apart.clear()
+            self.apart[key] = found
+        return found
+
+    def _apart(self, lefts: list[tuple[str, int]], rights: list[tuple[str, int]]) -> bool:
+        rank = self.rank.get
+        for x, x_above in lefts:
+            for y, y_above in rights:
+                across = rank(x + y)
+                if across is not None and across < x_above and across <= y_above:
+                    return False
+        return True
 
-    def count_all(self, words: list[str]) -> list[int]:
-        # The model itself puts the first mark before a text, but not before an empty one.
-        return [len(ids) if w != SPACE else self.mark for w, ids in zip(words, self.model.encode([w[1:] for w in words], num_threads=1), strict=True)]
+    def count(self, word: str) -> int:
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
+        if len(self.automaton):
+            for last, (size, place) in self.automaton.iter(word):
+                ends[last + 1].append((last + 1 - size, place))
+        tokens, before = [0] * (len(word) + 1), [-1] * (len(word) + 1)  # of each prefix: how many, and the last one
+        for end in range(1, len(word) + 1):
+            for start, place in ends[end]:  # one of them goes on, in whatever order they come
+                if not start or before[start] < 0 or self.stay_apart(before[start], place):
+                    tokens[end], before[end] = tokens[start] + 1, place
+                    break
+            else:  # a character without a piece
+                tokens[end], before[end] = tokens[end - 1] + len(word[end - 1].encode("utf-8", "replace")), self.place.get(word[end - 1], -1)
+        return tokens[-1]
 
 
 def _check_piece(piece: str) -> None:
@@ -161,9 +248,9 @@ def _runs(text: str) -> list[str]:
 
 
 def token_counts(docs: DataFrame, vocabulary: tuple[tuple[str, float], ...] | None = None) -> DataFrame:
-    """doc_id, n_tokens and n_chars of every document: of the shipped model, or of a unigram vocabulary."""
+    """doc_id, n_tokens and n_chars of every document: of the shipped BPE model, or of a unigram vocabulary."""
     if vocabulary is None:
-        kind, held = Encoder, Path(default_model()).read_bytes()
+        kind, held = MergeCounter, Merges.of(default_vocabulary())
     else:
         kind, held = Counter, vocabulary
     name = hash(held)

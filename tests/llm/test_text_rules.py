@@ -297,11 +297,35 @@ def test_every_language_has_a_band_of_its_own(spark):
     assert [r.log_perplexity for r in own if r.lang == "zz"] == [r.log_perplexity for r in alone]
 
 
+def test_merges_by_rank_on_small_vocabularies():
+    rng = random.Random(15)
+    for _ in range(40):
+        pieces = list("abc")[: rng.randint(2, 3)]
+        while len(pieces) < 12:
+            pieces.append(rng.choice(pieces) + rng.choice(pieces))
+            pieces = list(dict.fromkeys(pieces))
+        listed = tuple((p, -float(i)) for i, p in enumerate(pieces))
+        counter = token_counts.MergeCounter(token_counts.Merges.of(listed))
+        rank = {p: i for i, (p, _) in enumerate(listed)}
+        for _ in range(60):
+            word = "".join(rng.choices("abcé", k=rng.randint(0, 14)))
+            parts = list(word)
+            while True:
+                found = [(rank[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in rank]
+                if not found:
+                    break
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert counter.count(word) == sum(1 if p in rank else len(p.encode()) for p in parts), (listed, word, parts)
+
+
 def test_default_counts_are_the_shipped_models(docs_of):
     from sentencepiece import SentencePieceProcessor
 
     rng = random.Random(7)
     model = SentencePieceProcessor(model_file=token_counts.default_model())
     own = ["", " ", "  a", "a ", "a  b  ", "x▁y", "日🙂🙂 ﷺ", "a\0b\n\n", "The quick brown fox jumps over the lazy dog.", *("".join(rng.choices("the oféß 日🙂x\n'1▁", k=rng.randint(0, 40))) for _ in range(300))]
+    pieces = [p.replace("▁", " ") for p, _ in token_counts.default_vocabulary()]
+    own += ["".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(1500)]  # neighbours that merges would join
     found = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs_of(own)).collect()}
     assert [found[i] for i in range(len(own))] == [len(model.encode(t)) for t in own]
