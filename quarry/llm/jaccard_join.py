@@ -2,10 +2,11 @@
 
 Documents are sets of hashed word n-grams. Sizes fall in bands; sets whose similarity reaches the threshold are in
 the same band or in adjacent ones, and differ in at most ``k`` elements, a bound that the band gives. The
-domain is cut into first-level partitions, each of them into two; of each partition, one of its halves at least
-must agree when it holds no more than one difference, so enumerating the subsets of one half gives ``k + 1``
-signatures of which two similar sets share one. Some halves hold next to nothing and would be shared by many
-unrelated documents; ``spare`` more halves make up for leaving those out, and a document that has more of them
+domain is cut into ``k // 2 + 1`` first-level partitions, of which one at least holds no more than one difference, and each
+of them into a few second-level ones, of which all but one must then agree: the subsets that leave one out are
+enumerated, and two similar sets share one of their signatures. How many second-level partitions a band has is chosen by cost: more give
+more signatures, of more elements each, which fewer documents share by a common passage alone. Some subsets hold next to nothing and would be shared by many
+unrelated documents; ``spare`` more partitions make up for leaving theirs out, and a document that has more of them
 than that keeps them all.
 
 Equal sets are one class from the start. Classes that share a signature form a group, whose members are
@@ -14,7 +15,8 @@ parity bitmaps, whose distance is never above the sets' own, so it only discards
 decided on the sets. A pair within one component is not compared. Each round compares a member with its nearest
 candidates first and ends when none is left, so no link that joins two components is missed.
 
-Every decision is exact up to equal 64-bit hashes of different n-grams, words or sets.
+A class is told by 128 bits, of which 64 are its name; sets with one name and different bits are named anew. Within a comparison, decisions
+are exact up to equal 64-bit hashes of different n-grams or words. A signature that very many classes share is dealt over many tasks.
 
 Defined cases: a text with fewer words than an n-gram is one element; without words, or null, it is linked with
 nothing; a null id sorts first in a component, as the least id that isn't null is taken; repeated rows are equal
@@ -33,11 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, map_batches, release, stored, with_text, word_hashes
+from quarry.llm.common import Kept, discard, map_batches, release, stored, with_text, word_hashes
 from quarry.llm.components import components
 
-#: Growth of the size bands; elements below which a half is light; share of halves added for the light ones.
+#: Growth of the size bands; elements below which a subset is light; share of partitions added for the light ones.
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
+#: Second-level partitions to choose from. A signature costs 1, and COMMON times the chance that its elements all lie in a passage of PASSAGE of a document.
+PARTS, COMMON, PASSAGE = (2, 3, 4), 300, 0.25
+#: Rows of a signature from which it is dealt over tasks, into how many, and how many signatures are looked for (the sketch tracks 40 times as many).
+HOT, DEALT, MOST_HOT = 200_000, 64, 1000
+#: Classes that a task remembers as sent, in each of two generations.
+SENT = 100_000
 #: Members of a group that one task compares; nearest candidates of a member in the first round, and their growth.
 SPLIT, NEAREST, MORE = 8000, 4, 64
 #: Rows of groups with one leader that share a task's bitmaps.
@@ -94,27 +102,40 @@ def most_apart(smaller: int, percent: int) -> int:
     return smaller * (100 - percent) // percent
 
 
+@lru_cache(maxsize=None)
+def partitions(b: int, percent: int) -> tuple[int, int, int]:
+    """First-level partitions of a band, second-level ones of each, and how many of the first may be left out."""
+    first, last = bands(percent)[b]
+    k = most_apart(last, percent)
+    if not k:
+        return 1, 1, 0
+    spare = int(SPARE * (k // 2 + 1)) + 1
+    n = k // 2 + 1 + spare
+    cost = lambda parts: parts * n * (1 + COMMON * PASSAGE ** ((first + last) / 2 / n * (parts - 1) / parts))
+    return n, min(PARTS, key=cost), spare
+
+
 def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     """Of a set: for its own band, and for the band below if a similar set may be there."""
     size, at, out = len(own), band(len(own), percent), []
     for b in (at, at - 1):
         if b < 0 or b < at and -(-size * percent // 100) > bands(percent)[b][1]:
             continue
-        k = most_apart(bands(percent)[b][1], percent)
-        spare = int(SPARE * k) + 1 if k else 0
-        halves = k + 1 + spare
+        n, parts, spare = partitions(b, percent)
         values = _mix(own ^ np.uint64(b + 1))
-        half = (values >> np.uint64(24)) % np.uint64(halves)
-        order = np.argsort(half, kind="stable")
-        which, first, count = np.unique(half[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(_mix(values[order]), first)
-        light = halves - len(which) + int((count < LIGHT).sum())
-        if light <= spare:
-            which, sums = which[count >= LIGHT], sums[count >= LIGHT]
-        elif len(which) < halves:
-            empty = np.setdiff1d(np.arange(halves, dtype=np.uint64), which)
-            which, sums = np.concatenate([which, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(_mix(sums ^ _mix(which * _ODD + np.uint64(b + 1))))
+        cell = (values >> np.uint64(24)) % np.uint64(n * parts)
+        order = np.argsort(cell, kind="stable")
+        which, start, count = np.unique(cell[order], return_index=True, return_counts=True)
+        sums, counts = np.zeros(n * parts, np.uint64), np.zeros(n * parts, np.int64)
+        sums[which], counts[which] = np.add.reduceat(_mix(values[order]), start), count
+        sums, counts = sums.reshape(n, parts), counts.reshape(n, parts)
+        if parts > 1:  # all but one of a partition's parts
+            sums, counts = sums.sum(1, dtype=np.uint64)[:, None] - sums, counts.sum(1)[:, None] - counts
+        names = np.arange(n * parts, dtype=np.uint64).reshape(n, parts)
+        light = (counts < LIGHT).any(1)
+        if light.sum() <= spare:
+            sums, names = sums[~light], names[~light]
+        out.append(_mix(sums ^ _mix(names * _ODD + np.uint64(b + 1))).ravel())
     return np.concatenate(out).view(np.int64)
 
 
@@ -140,42 +161,81 @@ def _allowed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return np.where(possible, (100 - percent) * (a + b) // (100 + percent), -1)
 
 
-def records(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, c (the class: a hash of the set; null for an empty one), and if the task hasn't had the class its bitmap and signatures."""
-    seen: set[int] = set()
+def _names(own: np.ndarray, bits: int = 64) -> tuple[int, int] | tuple[None, None]:
+    """A set's name and what else tells it."""
+    if not len(own):
+        return None, None
+    both = xxhash.xxh3_128_intdigest(own.tobytes())
+    return (both >> 64 & ((1 << bits) - 1)) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
+
+
+def records(docs: DataFrame, words: int, percent: int, bits: int = 64) -> DataFrame:
+    """doc_id, n, c and c2 (the class: 128 bits of a hash of the set; null for an empty one), and, if the task hasn't sent them for the class lately, its bitmap and signatures."""
+    sent = Kept(SENT)
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"n": [], "c": [], "bits": [], "sigs": []}
-        for own in shingles(batch.column("text").to_pylist(), words):
-            c = xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None
-            fresh = c is not None and c not in seen
-            seen.add(c)
-            out["n"].append(len(own))
-            out["c"].append(c)
-            out["bits"].append(bitmap(own, percent) if fresh else None)
-            out["sigs"].append(signatures(own, percent) if fresh else None)
+        out: dict[str, list] = {"n": [], "c": [], "c2": [], "bits": [], "sigs": []}
+        own = shingles(batch.column("text").to_pylist(), words)
+        named = [_names(x, bits) for x in own]
+        fresh = sent.missing({c for c in named if c[0] is not None})
+        for x, c in zip(own, named, strict=True):
+            first = c in fresh
+            if first:
+                fresh.discard(c)
+                sent.new[c] = None
+            for k, v in zip(out, (len(x), *c, bitmap(x, percent) if first else None, signatures(x, percent) if first else None), strict=True):
+                out[k].append(v)
         return out | {"doc_id": batch.column("doc_id")}
 
-    return map_batches(with_text(docs, "doc_id"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long, bits binary, sigs array<long>")
+    return map_batches(with_text(docs, "doc_id"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long, c2 long, bits binary, sigs array<long>")
+
 
+def renamed(whole: DataFrame) -> DataFrame:
+    """The records with one name for each class: where sets share a name, all classes are numbered."""
+    if whole.where("c IS NOT NULL").groupBy("c").agg(F.min("c2").alias("a"), F.max("c2").alias("b")).where("a != b").isEmpty():
+        return whole
+    names = stored(whole.where("c IS NOT NULL").select("c", "c2").distinct().select(F.col("c").alias("old"), F.col("c2").alias("old2"), F.monotonically_increasing_id().alias("name")), "class-names")
+    both = whole.join(names, (whole.c == names.old) & (whole.c2 == names.old2), "left")
+    return stored(both.select("doc_id", "n", F.col("name").alias("c"), "c2", "bits", "sigs"), "records")
 
-def groups(found: DataFrame) -> DataFrame:
+
+def hot_signatures(rows: DataFrame, hot: int = HOT) -> list[int]:
+    """Signatures that may have ``hot`` rows or more, found in one pass; to deal one that hasn't is harmless."""
+    found = rows.agg(F.expr(f"approx_top_k(sig, {MOST_HOT}, {40 * MOST_HOT})").alias("top")).first().top
+    return [x.item for x in found or [] if x["count"] >= hot]
+
+
+def groups(found: DataFrame, hot: int = HOT) -> DataFrame:
     """sig, c, leader of every class that shares a signature with another; the leader is the group's least class.
 
-    One shuffle of narrow rows; a group is read in order and never held.
+    One shuffle of narrow rows; a group is read in order and never held. A hot signature's rows are dealt by class over several tasks,
+    each of which finds the least of its own, and the least of those leads.
     """
+    rows = found.select(F.explode("sigs").alias("sig"), "c")
+    dealt = hot_signatures(rows, hot)
+    if not dealt:
+        return _grouped(rows)
+    at = F.col("sig").isin(dealt)
+    plain = _grouped(rows.where(~at))
+    parts = stored(_grouped(rows.where(at).withColumn("of", F.pmod(F.xxhash64("c"), F.lit(DEALT))), "of", True), "dealt-members")
+    least = F.broadcast(parts.groupBy("sig").agg(F.min("leader").alias("least")))  # at most MOST_HOT rows
+    return plain.unionByName(parts.join(least, "sig").select("sig", "c", F.col("least").alias("leader")))
+
+
+def _grouped(rows: DataFrame, by: str = "sig", alone_too: bool = False) -> DataFrame:
+    """Groups of a signature, or of a signature and a share of its rows, whose members are sent even if alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_c = leader = None
+        last_sig = last_of = last_c = leader = None
         pending = False  # the last row was a leader that hasn't been sent
         for batch in batches:
-            sig, c = batch.column("sig").to_numpy(), batch.column("c").to_numpy()
+            sig, of, c = (batch.column(x).to_numpy() for x in ("sig", by, "c"))
             if not len(sig):
                 continue
             if last_sig is not None:
-                sig, c = np.concatenate([[last_sig], sig]), np.concatenate([[last_c], c])
+                sig, of, c = np.concatenate([[last_sig], sig]), np.concatenate([[last_of], of]), np.concatenate([[last_c], c])
             start = np.ones(len(sig), bool)
-            start[1:] = sig[1:] != sig[:-1]
+            start[1:] = (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])
             repeat = np.zeros(len(sig), bool)
             repeat[1:] = ~start[1:] & (c[1:] == c[:-1])
             runs = np.cumsum(start) - 1
@@ -188,19 +248,19 @@ def groups(found: DataFrame) -> DataFrame:
             send = follows.copy()
             heads = np.flatnonzero(start)
             some = np.bincount(runs, follows, minlength=len(heads)) > 0
-            fresh = some.copy()
+            fresh = some | alone_too
             if last_sig is not None:
-                fresh[0] = some[0] and pending
+                fresh[0] = not alone_too and some[0] and pending
             send[heads[fresh]] = True
             values = np.where(start & send, lead[runs], c)
-            last_sig, last_c, leader = sig[-1], c[-1], lead[-1]
+            last_sig, last_of, last_c, leader = sig[-1], of[-1], c[-1], lead[-1]
             alone = not some[-1]
             pending = alone and (pending if len(heads) == 1 and start[0] and repeat[0] else True)
             if send.any():
                 yield pa.RecordBatch.from_arrays([pa.array(sig[send]), pa.array(values[send]), pa.array(lead[runs][send])], names=["sig", "c", "leader"])
 
-    rows = found.select(F.explode("sigs").alias("sig"), "c")
-    return rows.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(run, "sig long, c long, leader long")
+    key = list(dict.fromkeys(["sig", by]))
+    return rows.repartition(*key).sortWithinPartitions(*key, "c").mapInArrow(run, "sig long, c long, leader long")
 
 
 def near(edges: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +282,7 @@ def near(edges: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 def sets(docs: DataFrame, info: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """c and its set, for the classes in ``nodes``: their texts are read again instead of being stored for all."""
-    wanted = info.join(nodes.distinct(), "c", "left_semi").select(F.col("c").alias("wanted"), F.col("rep").alias("rep"))
+    wanted = info.join(nodes.distinct(), "c", "left_semi").select(F.col("c").alias("wanted"), F.col("c2").alias("rest"), F.col("rep").alias("rep"))
     wanted = stored(wanted, "wanted")
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
@@ -230,9 +290,10 @@ def sets(docs: DataFrame, info: DataFrame, nodes: DataFrame, words: int) -> Data
 
     def run(batch: pa.RecordBatch) -> dict:
         own = shingles(batch.column("text").to_pylist(), words)
-        c = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in own]
-        keep = [i for i, (x, y) in enumerate(zip(c, batch.column("wanted").to_pylist(), strict=True)) if x == y]
-        return {"c": [c[i] for i in keep], "set": [own[i].tobytes() for i in keep]}
+        rest = [_names(x)[1] for x in own]
+        wanted = batch.column("wanted").to_pylist()
+        keep = [i for i, (x, y) in enumerate(zip(rest, batch.column("rest").to_pylist(), strict=True)) if x == y]
+        return {"c": [wanted[i] for i in keep], "set": [own[i].tobytes() for i in keep]}
 
     return stored(map_batches(rows, run, "c long, set binary"), "sets")
 
@@ -267,10 +328,11 @@ def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def distinct_groups(members: DataFrame) -> DataFrame:
     """sig, c, leader, size of the groups of three or more, one of those with the same members: the others would repeat its comparisons.
 
-    Groups of two are settled by their leader. Members are told by a sum of hashes, over 64 bits and the size.
+    Groups of two are settled by their leader. Members are told by two sums of independent hashes, over 128 bits, and the size.
     """
-    known = members.groupBy("sig").agg(F.count("*").alias("size"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("print")).where("size > 2")
-    one = known.groupBy("size", "print").agg(F.min("sig").alias("sig"))
+    prints = [F.sum(F.xxhash64(*x).cast("decimal(20,0)")).alias(name) for name, x in (("print", (F.col("c"),)), ("print2", (F.lit(1), F.col("c"))))]
+    known = members.groupBy("sig").agg(F.count("*").alias("size"), *prints).where("size > 2")
+    one = known.groupBy("size", "print", "print2").agg(F.min("sig").alias("sig"))
     return stored(members.join(stored(one.select("sig", "size"), "distinct-groups"), "sig"), "group-members")
 
 
@@ -389,14 +451,14 @@ def open_pairs(rows: DataFrame, info: DataFrame, percent: int, nearest: int) ->
     return dealt.mapInArrow(run, "u long, v long, cut boolean, sig long")
 
 
-def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """The records of all documents, and node and root of the classes that have links."""
-    whole = stored(records(docs, words, percent), "records")
-    members = stored(groups(whole), "members")
+def link(docs: DataFrame, words: int = 4, percent: int = 85, bits: int = 64, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The records of all documents, and node and root of the classes that have links. ``bits`` are those of a class's name."""
+    whole = renamed(stored(records(docs, words, percent, bits), "records"))
+    members = stored(groups(whole, hot), "members")
     found = stored(whole.drop("sigs"), "classes-of")
     discard(whole)  # the signatures are the largest table, and have done their part
     info = found.where("bits IS NOT NULL").join(members.select("c").distinct(), "c", "left_semi")
-    info = stored(info.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    info = stored(info.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("c2").alias("c2"), F.first("bits").alias("bits")), "classes")
     stars = members.where("c != leader").groupBy(F.col("leader").alias("u"), F.col("c").alias("v")).agg(F.count("*").alias("shared"))
     stars = stored(near(stars, info, percent), "stars")
     known = sets(docs, info, stars.select(F.col("u").alias("c")).unionByName(stars.select(F.col("v").alias("c"))), words)
@@ -435,9 +497,9 @@ def link(docs: DataFrame, words: int = 4, percent: int = 85) -> tuple[DataFrame,
         nearest, first = nearest * MORE, False
 
 
-def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+def classes(docs: DataFrame, words: int = 4, percent: int = 85, bits: int = 64, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and component_size of every document."""
-    found, labels = link(docs, words, percent)
+    found, labels = link(docs, words, percent, bits, hot)
     rows = found.select("doc_id", F.col("n").alias("n_shingles"), "c").join(labels.withColumnRenamed("node", "c"), "c", "left")
     rows = stored(rows.withColumn("root", F.coalesce("root", "c")).drop("c"), "rooted")
     heads = stored(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("head"), F.count("*").alias("size")), "heads")

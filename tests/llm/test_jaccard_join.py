@@ -65,6 +65,25 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, words, perc
     assert rows == brute(texts, words, percent)
 
 
+@pytest.mark.parametrize(("bits", "hot"), [(3, J.HOT), (64, 5), (3, 5)])
+def test_short_names_and_hot_signatures_change_nothing(spark, monkeypatch, bits, hot):
+    monkeypatch.setattr(J, "DEALT", 3)
+    texts = corpus(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in J.classes(docs, 4, 85, bits, hot).collect()}
+    assert rows == brute(texts, 4, 85)
+
+
+def test_a_band_has_the_parts_that_cost_least():
+    chosen = {p: {J.partitions(b, p)[1] for b in range(8, 20)} for p in (80, 85, 95)}
+    assert chosen[95] == {2} and chosen[80] == {3}  # many elements to a signature, and few
+    for p in (80, 85, 95):
+        for b in range(20):
+            n, parts, spare = J.partitions(b, p)
+            k = J.most_apart(J.bands(p)[b][1], p)
+            assert n - spare == (k // 2 + 1 if k else 1)
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_similar_sets_share_a_signature(percent):
     rng = np.random.default_rng(percent)
@@ -86,6 +105,7 @@ def test_groups_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = J.groups(spark.createDataFrame(rows, "c long, sigs array<long>")).collect()
+        dealt = J.groups(spark.createDataFrame(rows, "c long, sigs array<long>"), 9).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     held = {}
@@ -93,6 +113,8 @@ def test_groups_over_batches(spark):
         for s in sigs:
             held.setdefault(s, set()).add(c)
     assert sorted((r.sig, r.c, r.leader) for r in got) == sorted((s, c, min(cs)) for s, cs in held.items() if len(cs) > 1 for c in cs)
+    hot = {s for s, cs in held.items() if sum(x.count(s) for _, x in rows) >= 9}
+    assert hot and {(r.sig, r.c, r.leader) for r in dealt} - {(r.sig, r.c, r.leader) for r in got} <= {(s, c, c) for s in hot for c in held[s]} and {(r.sig, r.c, r.leader) for r in dealt} >= {(r.sig, r.c, r.leader) for r in got}
 
 
 def test_components(spark):
