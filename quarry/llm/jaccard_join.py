@@ -41,7 +41,7 @@ from quarry.llm.components import components
 #: Growth of the size bands; elements below which a subset is light; share of partitions added for the light ones.
 GROWTH, LIGHT, SPARE = 1.6, 2, 0.06
 #: Second-level partitions to choose from. A signature costs 1, and COMMON times the chance that its elements all lie in a passage of PASSAGE of a document.
-PARTS, COMMON, PASSAGE = (2, 3, 4), 300, 0.25
+PARTS, COMMON, PASSAGE = (2, 3, 4), 100, 0.25
 #: Rows of a signature from which it is dealt over tasks, into how many, and how many signatures are looked for (the sketch tracks 40 times as many).
 HOT, DEALT, MOST_HOT = 200_000, 64, 1000
 #: Classes that a task remembers as sent, in each of two generations.
