@@ -10,11 +10,12 @@ and a step that leaves it is replaced by bisection.
 Rates become whole copies: a document gets its rate's whole part, and of the rest those with the
 least ``u - fraction`` (u uniform, from a hash of the row) get one more, up to the source's
 target. The cut-off is found through bins of that score and, in the one bin where it falls, in order.
-A few single changes then bring each source to within about a word of its target.
+Up to ROUNDS single changes, each by the document whose size is nearest to what is still off, then bring each source near its target:
+how near depends on the sizes it has, as documents are taken whole.
 
 Defined cases: null text has size 0; the null source is one of the sources and sorts last; documents
 of size 0 get a copy and take no words; repeated rows are each decided on their own, ties in an
-arbitrary order that doesn't change the total; an empty table gives no rows; other columns are ignored.
+arbitrary order (rows with one id and text share a score, so a group of them is ranked in one task) that doesn't change the total; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,12 +1,12 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Pieces are range-sorted by length, which gives each its rank. The bulk-synchronous matching works on
-sorted runs: a run of equal lengths on one side, a run of bins with equal gaps on the other. Pieces
-of one length are interchangeable, so a run stands for any number of them, and the tables the
-sweep reads have at most one row a length whatever the input's size. In each step the longest
-unplaced length sweeps to its successor among the gaps, the smallest that holds it; conflicts
-within the run go by rank; the gaps are updated and the step repeats. The matched
-runs then place the pieces themselves, by rank and in parallel.
+Pieces are range-sorted by length by Spark, which gives each its rank, and placed by rank in parallel. The matching between is not
+distributed: the rounds of successor sweeps over range-sorted gap tables are collapsed into one loop on the driver. Pieces
+of one length are interchangeable, and so are bins of one gap, so runs (a length and how many pieces have it, a gap and how many bins
+have it) stand for whole tables, and there are at most ``capacity`` of either whatever the input's size. In each step the longest
+unplaced length goes to its successor among the gaps, the smallest that holds it; conflicts
+within the run go by rank; the gaps are updated and the step repeats. Sweeps over the tables themselves would make the same
+matches with a shuffle for each round.
 
 The runs are bounded: a matched gap more than halves (g mod l < g / 2), so each of the at most
 3 * capacity runs is matched at most log2(capacity) times.

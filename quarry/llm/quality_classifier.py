@@ -10,7 +10,7 @@ The fit takes at most ``SAMPLE`` labelled rows, those with the least hash of the
 Scoring covers every document and its whole text; the model it sends round has a fixed size.
 
 Defined cases: null or empty text has no features and gets the score of the bias alone; a null quality isn't a
-label; a document with several labels has the rounded mean; with labels of one class or none the score is
+label; a document with several labels has the rounded mean, and of a labelled id's rows the least text is fitted; with labels of one class or none the score is
 their smoothed share; repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
 """
 
@@ -161,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of at most ``sample`` labelled rows that aren't held out."""
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
     chosen = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = with_text(docs, "doc_id").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    rows = with_text(docs, "doc_id").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id may be repeated
 
     def run(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "x": features(batch.column("text").to_pylist())}

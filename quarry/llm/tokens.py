@@ -1,12 +1,14 @@
 """Token ids of whole texts, pre-token by pre-token.
 
-The tokenizer used here works on pre-tokens, which never hold white space, so the ids of a text are those of
+The default tokenizer works on pre-tokens, which never hold white space, so the ids of a text are those of
 its words, or of its pre-tokens, one after another. Each worker keeps the ids of the pre-tokens it
-has met, up to a fixed number, and so encodes one once instead of at each occurrence.
+has met, up to a fixed number, and so encodes one once instead of at each occurrence. Tokenizers whose own rules for cutting
+texts differ are given whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import pairwise
@@ -25,6 +27,11 @@ _LETTER, _NUMBER, _BLANK = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x
 _PRE_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}{_BLANK}]+")
 
 
+#: How that tokenizer normalises and cuts texts; only one that does the same is given pieces of them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -50,6 +57,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Kept(CACHE)
+        rules = json.loads(self.tokenizer.to_str())
+        specials = [x["content"] for x in rules["added_tokens"]]
+        self.by_words = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": _CUTS} and all(x.startswith("<|") and not re.search(r"\s", x) for x in specials)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -70,6 +80,8 @@ class WordEncoder:
         self.known.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         # Special tokens are found before anything else, so texts that may hold one are left to the tokenizer, word by word.
         parts = [_PRE_TOKEN.findall(t.lower()) if "<|" not in t and _latin(t) else t.replace("\n", " ").split(" ") for t in texts]
         fresh = self.known.missing(set().union(*parts))

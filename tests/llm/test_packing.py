@@ -23,6 +23,28 @@ def test_ids_are_the_tokenizers():
         assert got == [np.array(e.ids, "<u4").tobytes() for e in expected]
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    own = [*ODD, "The quick brown fox.\n\n  Jumps"]
+    assert not encoder.by_words and WordEncoder(default_path()).by_words
+    assert encoder.encode(own) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in own]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_runs_are_no_worse_than_plain_best_fit(seed):
+    rng = random.Random(100 + seed)
+    capacity = rng.choice([7, 64, 2048])
+    sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 300))), reverse=True)
+    gaps: list[int] = []
+    for x in sizes:
+        fits = [g for g in gaps if g >= x]
+        gaps.append(capacity - x) if not fits else gaps.__setitem__(gaps.index(min(fits)), min(fits) - x)
+    counts = {x: sizes.count(x) for x in sizes}
+    assert packing.match(counts, capacity)[1] <= len(gaps)
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_runs_place_every_piece_once(seed):
     rng = random.Random(seed)

@@ -56,6 +56,49 @@ def test_map_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path).shards == second.shards and sharding.SlotMap.load(spark, path, 1).shards == first.shards
 
 
+def test_hot_keys_are_dealt_over_shards(spark):
+    docs = spark.createDataFrame([(7, "same text") for _ in range(2000)] + [(i, "t" * (i % 40)) for i in range(2000)] + [(5000, "x" * 3000)], "doc_id long, text string").repartition(3)
+    rows = sharding.shard(docs, 10).collect()
+    held, places = {}, {}
+    for r in rows:
+        held[r.shard] = held.get(r.shard, 0) + r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 4001 and max(held.values()) / min(held.values()) < 1.05
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len({r.virtual_slot for r in rows if r.doc_id == 7}) > 10
+
+
+def test_map_is_read_again_and_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('a', cast(id % 50 AS int)) AS text")
+    first = {r.doc_id: r for r in sharding.shard(docs, 8, 256, path).collect()}
+    again = {r.doc_id: r for r in sharding.shard(docs, 8, 256, path).collect()}
+    assert {r.map_version for r in again.values()} == {1} and all(first[i].shard == again[i].shard for i in first)
+    grown = docs.unionByName(spark.range(3000, 3200).selectExpr("id AS doc_id", "repeat('b', 2000) AS text"))
+    later = {r.doc_id: r for r in sharding.shard(grown, 8, 256, path).collect()}
+    assert {r.map_version for r in later.values()} == {2} and sharding.SlotMap.load(spark, path, 1).version == 1
+    held = {}
+    for r in later.values():
+        held[r.shard] = held.get(r.shard, 0) + r["size"]
+    assert max(held.values()) / min(held.values()) < 1.3
+    assert sum(first[i].shard != later[i].shard for i in first) < 1500  # most slots stay
+    more = sharding.shard(grown, 9, 256, path).collect()
+    assert {r.shard for r in more} == set(range(9)) and {r.map_version for r in more} == {3}
+
+
+def test_a_repeated_labelled_id_is_fitted_once(spark):
+    docs = spark.createDataFrame([(3, f"copy {i}") for i in range(300)] + [(i, f"text of {i}") for i in range(4, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+    fit = quality_classifier.fit
+    try:
+        quality_classifier.fit = lambda x, y, fold: seen.append(len(y)) or fit(x, y, fold)
+        quality_classifier.train(docs, labels, sample=40)
+    finally:
+        quality_classifier.fit = fit
+    assert seen[0] <= 27
+
+
 def water(totals, weights=(1, 2, 3)):
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
