@@ -9,13 +9,14 @@ and a step that leaves it is replaced by bisection.
 
 Rates become whole copies: a document gets its rate's whole part, and of the rest those with the
 least ``u - fraction`` (u uniform, from a hash of the row) get one more, up to the source's
-target. The cut-off is found through bins of that score and, in the one bin where it falls, in order.
+target. The cut-off is found through bins of that score and, in the one bin where it falls, by sums over ranges of
+the sorted rows: neither a bin nor the sources nor a group of repeated rows is ever sorted in one task.
 Up to ROUNDS single changes, each by the document whose size is nearest to what is still off, then bring each source near its target:
 how near depends on the sizes it has, as documents are taken whole.
 
 Defined cases: null text has size 0; the null source is one of the sources and sorts last; documents
 of size 0 get a copy and take no words; repeated rows are each decided on their own, ties in an
-arbitrary order (rows with one id and text share a score, so a group of them is ranked in one task) that doesn't change the total; an empty table gives no rows; other columns are ignored.
+arbitrary order that doesn't change the total; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,21 +54,44 @@ def sizes(docs: DataFrame) -> DataFrame:
     return map_batches(rows, count, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size long, h long")
 
 
+def earlier(rows: DataFrame, order: list, values: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``before_<value>``, the sum of each value over the earlier rows of equal ``within`` columns.
+
+    Rows are sorted by range: a sum is that of the ranges before plus that in the row's own range, so no task
+    reads more than a range of ``rows``. The table of sums has a row for each range and group of ``within`` that is in it.
+    """
+    ranges = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranges").withColumn("part", F.shiftright("at", 33))
+    past = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("part", *within).agg(*(F.sum(v).alias(v) for v in values))
+    known = [F.coalesce(F.sum(v).over(past(within, "part")), F.lit(0)).alias(f"_{v}") for v in values]
+    sums = stored(sums.select(*(F.col(k).alias(f"_{k}") for k in ("part", *within)), *known), "range-sums")
+    same = F.col("part") == F.col("_part")
+    for k in within:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = ranges.join(_hint(sums, sums.count()), same)
+    own = past(("part", *within), "at")
+    return joined.select(*rows.columns, *((F.coalesce(F.sum(v).over(own), F.lit(0)) + F.col(f"_{v}")).alias(f"before_{v}") for v in values))
+
+
 def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """source, source_size, n, target: shares by weight, filled up to the cap.
 
-    A source is at its cap if its cap over its weight is below the level that the sources with
+    A source is at its cap if its cap over its weight is below the level that it and the sources with
     larger quotients would share; levels rise along that order, so the first source that isn't ends them.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.array(*map(F.lit, weights))
-    known = totals.withColumn("weight", weight[(F.row_number().over(order) - 1) % len(weights)].cast("double")).withColumn("most", cap * F.col("source_size"))
-    rise = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, all_rows = rise.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    known = known.withColumn("level", (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    known = known.withColumn("full", F.max((F.col("most") / F.col("weight") >= F.col("level")).cast("int")).over(rise.rowsBetween(Window.unboundedPreceding, 0)) == 0)
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("most") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(all_rows)["level"]
-    return known.withColumn("final", level).select("source", "source_size", "n", F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("weight") * F.col("final"), F.col("most"))).alias("target"))
+    placed = earlier(totals.withColumn("one", F.lit(1)), [F.col("source").asc_nulls_last()], ("one",))
+    weight = F.array(*map(F.lit, weights))[(F.col("before_one") % len(weights)).cast("int")]
+    known = placed.select("source", "source_size", "n", weight.cast("double").alias("weight"), (cap * F.col("source_size")).cast("double").alias("most"))
+    known = stored(known.withColumn("quotient", F.col("most") / F.col("weight")), "source-weights")
+    whole = known.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    known = earlier(known, [F.col("quotient"), F.col("source").asc_nulls_last()], ("most", "weight"))
+    level = (F.lit(whole.size) - F.col("before_most")) / (F.lit(whole.weight) - F.col("before_weight"))
+    known = stored(known.withColumn("level", level), "source-levels")
+    end = known.where("quotient >= level").agg(F.min(F.struct("quotient", "level")).alias("end")).first().end
+    target = F.col("most")
+    if end is not None:  # else every source is at its cap
+        target = F.when(F.col("quotient") < end.quotient, target).otherwise(F.least(F.col("weight") * end.level, target))
+    return known.select("source", "source_size", "n", target.alias("target"))
 
 
 def _hint(few: DataFrame, rows: int) -> DataFrame:
@@ -128,9 +152,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     # Without a cut-off the source's score bins all fit.
     edge = F.col("score").isNotNull() & (F.col("bin") == F.col("cut"))
     plain = keyed.where(~F.coalesce(edge, F.lit(False))).withColumn("more", (F.col("score").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))).cast("long"))
-    upto = Window.partitionBy("source").orderBy("score", "size", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.sum("size").over(upto)
-    tight = keyed.where(edge).withColumn("upto", held).withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("room")).cast("long")).drop("upto")
+    tight = earlier(keyed.where(edge), [F.col("source"), F.col("score"), F.col("size"), F.col("doc_id"), F.col("rid")], ("size",), ("source",))
+    tight = tight.withColumn("more", (F.col("before_size") + F.col("size") / 2 <= F.col("room")).cast("long")).drop("before_size")
     copied = plain.unionByName(tight).select("rid", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
     copied = settled(stored(copied, "copies"), few, cap)
     return copied.withColumn("taken", F.col("copies") * F.col("size"))

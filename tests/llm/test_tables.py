@@ -131,6 +131,54 @@ def test_mix_meets_its_targets(spark, seed):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_targets_of_many_sources(spark, seed):
+    rng = random.Random(seed)
+    totals = {None: 5000, "": 0} | {f"s{i}": rng.choice([0, 1, 7, 7, 7, 100, rng.randrange(5000)]) for i in range(700)}
+    df = spark.createDataFrame([(s, n, 1) for s, n in totals.items()], "source string, source_size long, n long").repartition(5)
+    assert {r.source: r.target for r in mixing.targets(df).collect()} == pytest.approx(water(totals))
+
+
+def test_sums_of_earlier_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "a", "a", "b"]), rng.randrange(4), rng.randrange(100), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, x long, v long, i long").repartition(6)
+    found = {r.i: r.before_v for r in mixing.earlier(df, ["k", "x", "i"], ("v",), ("k",)).collect()}
+    assert found == {i: sum(v2 for k2, x2, v2, i2 in rows if k2 == k and (x2, i2) < (x, i)) for k, x, _, i in rows}
+
+
+def test_rates_are_the_least_biased(spark):
+    """Tilts against a bisection of each source's dual; copies against the rates they round."""
+    rng = random.Random(7)
+    docs = [(i, rng.choices(["a", "b", "c", None], [20, 5, 1, 6])[0], int(rng.paretovariate(1.2) * 5 % 300)) for i in range(2000)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in docs], "doc_id long, source string, text string")
+    rows = mixing.mix(df).collect()
+    target = {r.source: r.target for r in rows}
+    for s in target:
+        own = np.array([n for _, source, n in docs if source == s], float)
+        mean, taken = own.mean(), lambda t: np.sum(own * np.minimum(3, np.exp(np.minimum(t * own / own.mean(), 5.0))))  # noqa: B023
+        if target[s] >= 3 * own.sum() * (1 - 1e-12):
+            assert all(r.copies == 3 for r in rows if r.source == s and r["size"])
+            continue
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if taken((low + high) / 2) < target[s] else (low, (low + high) / 2)
+        off = 0
+        for r in (r for r in rows if r.source == s and r["size"]):
+            rate = min(3.0, float(np.exp(min(low * r["size"] / mean, 5.0))))
+            off += not np.floor(rate - 1e-6) <= r.copies <= np.ceil(rate + 1e-6)
+        assert off <= mixing.ROUNDS
+
+
+def test_mix_of_equal_rows(spark):
+    rows = [(1, "a", "w w w")] * 1500 + [(i, "b", "x " * (i % 9)) for i in range(400)] + [(None, None, "y y")] * 300
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)).collect()
+    assert len(mixed) == len(rows) and all(0 <= r.copies <= 3 for r in mixed)
+    for s in ("a", "b", None):
+        own = [r for r in mixed if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choices("the of and retion heed onand thering blest thane".split(), k=rng.randint(5, 60)))
