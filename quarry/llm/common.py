@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quarry.session import discard, ship, stored
 
-__all__ = ["BATCH_BYTES", "WORD", "Kept", "discard", "map_batches", "read", "release", "stored", "text_batches", "with_text", "word_hashes", "worker_cache"]
+__all__ = ["BATCH_BYTES", "WORD", "Kept", "arrow_batches", "discard", "map_batches", "read", "release", "stored", "text_batches", "with_text", "word_hashes", "worker_cache"]
 
 #: A word in the contracts' sense: a run of anything but ASCII white space. ``bytes.split()`` splits by the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,6 +101,18 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         yield batch.slice(first, n - first)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, limit: int) -> Iterator[None]:
+    """What is planned inside hands Python batches of about ``limit`` bytes: by Spark's own limits, long texts fill 64 MB on both sides of each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: T.StructType | str, column: str = "text") -> DataFrame:
     """``fn`` over slices of bounded text; it returns columns by name in the order of ``schema``."""
     ship(df.sparkSession)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, stored, with_text
+from quarry.llm.common import BATCH_BYTES, arrow_batches, map_batches, stored, with_text
 from quarry.llm.tokens import WordEncoder, default_path
 
 #: Tokens in a sequence, and the id that ends a document.
@@ -89,7 +89,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece with its sequence and its place there."""
-    cut = stored(pieces(docs, capacity, path), "pieces")
+    with arrow_batches(docs.sparkSession, 2 * BATCH_BYTES):
+        cut = stored(pieces(docs, capacity, path), "pieces")
     order = ("length", "doc_id", "piece")
     ranked = stored(cut.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "ranked-pieces")
     parts = {r.part: r.n for r in ranked.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect()}

@@ -1,10 +1,14 @@
+import gc
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm import packing
+from quarry.llm import common, packing, tokens
 from quarry.llm.tokens import WordEncoder, default_path
 
 ODD = ["", "İstanbul ΣΑΣ don't I'LL we've <|ENDOFTEXT|> <|endoftext|>x", "á ́b ée", "tab\there\x0bv\x0c f nb em　zz", "x" * 300 + " Ünï-côde 12,3 ½²x", " lead  double ", "ªµº ß ẞ ſ K", "1's .'re x'llama 3½'d \x1c\x85a\xa0b\x00c ÀÉ ''s", "it''s 'tis ’s 日本 語"]
@@ -23,6 +27,42 @@ def test_ids_are_the_tokenizers():
         assert got == [np.array(e.ids, "<u4").tobytes() for e in expected]
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_latin_1_is_cut_as_the_tokenizer_cuts(seed):
+    rng = random.Random(seed)
+    pieces = [*map(chr, range(256)), *"''''''", "'s", "'t", "'re", "'VE", "'m", "'ll", "'d", "''s", " ", "\n", "re", "l", "ll's", "1²", "\xa0'"]
+    own = ["".join(rng.choices(pieces, k=rng.randint(0, 60))).replace("<|", "<") for _ in range(400)]
+    encoder = WordEncoder(default_path())
+    assert encoder.encode(own) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in own]
+
+
+def test_known_pre_tokens_are_bounded_and_small(monkeypatch):
+    """Ids stay right when strings are forgotten, and what is kept takes few bytes for each."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("aeioustrnlmk", k=9)) for _ in range(60_000)]
+    encoder = WordEncoder(default_path())
+    tracemalloc.start()
+    first = encoder.encode([" ".join(words)])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] - sum(map(len, first)) + pa.total_allocated_bytes()
+    tracemalloc.stop()
+    assert held < 100 * len(words)
+    monkeypatch.setattr(tokens, "CACHE", 1000)
+    for i in range(0, 20_000, 400):
+        some = words[i : i + 400] + rng.choices(words[: i + 1], k=300) + ["x" * 100 + str(i)]
+        assert encoder.encode([" ".join(some)]) == [np.array(encoder.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4").tobytes()]
+        assert len(encoder.pre_tokens.strings) <= 1000 and max(map(len, encoder.pre_tokens.strings.to_pylist())) <= 64
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    docs = spark.range(3000).select(F.repeat(F.lit("word "), 1000).alias("text")).coalesce(1)
+    name, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(name, None)
+    with common.arrow_batches(spark, 1 << 20):
+        found = [r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()]
+    assert max(found) < 2 << 20 and sum(found) > 15_000_000 and spark.conf.get(name, None) == before
+
+
 def test_other_tokenizers_get_whole_texts():
     import public_tokenizers
 
