@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BATCH_BYTES, arrow_batches, map_batches, stored, with_text
+from quarry.llm.common import BATCH_BYTES, arrow_batches, map_batches, release, stored, with_text
 from quarry.llm.tokens import WordEncoder, default_path
 
 #: Tokens in a sequence, and the id that ends a document.
@@ -76,7 +76,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         end = np.array([END], "<u4").tobytes()
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), WordEncoder.of(path).encode(batch.column("text").to_pylist()), strict=True):
+        encoded = WordEncoder.of(path).encode(batch.column("text").to_pylist())
+        release()  # a slice's arrays take as much as the cache
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]

@@ -36,6 +36,17 @@ def test_latin_1_is_cut_as_the_tokenizer_cuts(seed):
     assert encoder.encode(own) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in own]
 
 
+def test_plain_texts_are_not_normalised_and_cut_a_second_time():
+    """That took more of the CPU than the merges: new pre-tokens go to the model, and known ones nowhere."""
+    own = ["Étre l'été, don't 3½", *texts(random.Random(3), 20)]
+    encoder, model = WordEncoder(default_path()), []
+    expected = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(own, add_special_tokens=False)]
+    tokenizer, encoder.tokenizer = encoder.tokenizer, None
+    encoder.model = type("Spy", (), {"tokenize": lambda _, w: model.append(w) or tokenizer.model.tokenize(w)})()
+    assert encoder.encode(own) == expected and len(model) == len(set(model))
+    assert encoder.encode(own) == expected and len(model) == len(set(model))
+
+
 def test_known_pre_tokens_are_bounded_and_small(monkeypatch):
     """Ids stay right when strings are forgotten, and what is kept takes few bytes for each."""
     rng = random.Random(4)
