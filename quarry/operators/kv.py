@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,25 +88,30 @@ def folded_log(log: DataFrame, rule: Callable[[Column, Column], Column]) -> Data
     return folded(rows, "key").select("key", "seq", F.when(F.col("value").isNull(), "delete").otherwise("put").alias("op"), "value")
 
 
-def _places(column: str, bits: int) -> Column:
-    return F.array(*(F.pmod(F.xxhash64(F.lit(i), column), F.lit(bits)) for i in range(HASHES)))
+def _places(column: str, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(i), column), F.lit(bits)) for i in range(HASHES)]
 
 
 def bloom(keys: DataFrame, column: str, n: int) -> DataFrame:
     """word and bits of a Bloom filter, 64 bits a row: built by or-ing, so tasks' parts merge before the shuffle."""
     bits = max(64, n * BITS_PER_KEY)
-    place = keys.select(F.explode(_places(column, bits)).alias("p"))
+    place = keys.select(F.explode(F.array(*_places(column, bits))).alias("p"))
     return place.groupBy(F.expr("p div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits"))
 
 
 def bloom_semi_join(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose key is in ``keys``: most others go by the Bloom filter before the exact semi join shuffles them."""
+    """Rows whose key is in ``keys``: most others go by the Bloom filter before the exact semi join shuffles them.
+
+    The filter is one array with a place for each word, so a look-up takes as long with many keys as with few (in a map,
+    Spark compares word by word). As a scalar it is a value of the plan, which no row of a join carries along.
+    """
     held = keys.select(column).distinct()
     n = held.count()
     if 0 < n <= MOST_KEYS:
         bits = max(64, n * BITS_PER_KEY)
         # One row of at most MOST_KEYS * BITS_PER_KEY bits.
-        whole = bloom(held, column, n).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
-        hit = F.forall(_places(column, bits), lambda p: F.coalesce(F.getbit(F.try_element_at(F.col("held"), F.floor(p / 64)), (p % 64).cast("int")) == 1, F.lit(False)))
-        rows = rows.join(F.broadcast(whole)).where(hit).drop("held")
+        empty = rows.sparkSession.range(-(-bits // 64)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        words = bloom(held, column, n).unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        whole = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
+        rows = rows.where(reduce(and_, (F.getbit(F.get(whole, (p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in _places(column, bits))))
     return rows.join(held, column, "left_semi")

@@ -133,6 +133,14 @@ def test_bloom_has_no_false_negatives(spark):
     assert kv.bloom_semi_join(rows, keys.where("k < 0"), "k").count() == 0
 
 
+def test_bloom_asks_an_array_not_a_map(spark):
+    rows, keys = spark.range(0, 60_000, 3).withColumnRenamed("id", "k"), spark.range(0, 60_000, 2).withColumnRenamed("id", "k")
+    joined = kv.bloom_semi_join(rows, keys, "k")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan and "map_from_entries" not in plan and "try_element_at" not in plan
+    assert sorted(r.k for r in joined.collect()) == list(range(0, 60_000, 6))
+
+
 def test_stream_gives_the_batch_state(spark, tmp_path):
     changes = log(spark, [("put", "a", 1), ("put", "b", 2), ("delete", "a", None), ("put", "c", 3), ("put", "b", 5)])
     changes.repartition(3).write.parquet(str(tmp_path / "in"))
