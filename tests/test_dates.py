@@ -81,6 +81,28 @@ def test_interval_join_finds_each_overlap_once(spark):
     assert sorted((r.k, r.range_id) for r in found) == expected
 
 
+def test_interval_counts_are_those_of_the_join(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 7 else None, a, a + rng.choice([-1, 0, 3, 100, 5000])) for i in range(80) for a in [rng.randrange(-50, 3000)]] + [(2**62, day, day) for day in (3000, 3300, 3600)] + [(5, 10, dates.OPEN)]  # more than a long up to a day, not in a range
+    ranges = [(i // 2, a, a + rng.choice([0, 1, 10, 200])) for i in range(40) for a in [rng.randrange(-80, 3500)]] + [(30, 5, 6), (31, 9, 2), (32, -90, -85)]
+    found = dates.interval_counts(spark.createDataFrame(rows, "k long, lo long, hi long"), spark.createDataFrame(ranges, "range_id long, lo long, hi long"), "k").collect()
+    expected = {}
+    for r, c, d in ranges:
+        for k, a, b in rows:
+            if a <= b and c <= d and a <= d and b >= c:
+                expected.setdefault(r, []).append(k)
+    sums = {r: (len(ks), sum(k for k in ks if k is not None) if any(k is not None for k in ks) else None) for r, ks in expected.items()}
+    assert {r.range_id: (r.n, r["keys"]) for r in found} == sums
+
+
+def test_interval_counts_make_no_pairs(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("id AS k", "id % 10 AS lo", f"{dates.OPEN} AS hi")
+    ranges = spark.range(n).selectExpr("id AS range_id", "5L AS lo", "6L AS hi")
+    found = dates.interval_counts(rows, ranges, "k")
+    assert found.where(f"n = {n * 7 // 10}").count() == n  # 28 thousand million pairs
+
+
 def test_slices_rebuild_the_value(spark):
     values = [(i, dates.day_of("2024-01-01") + timedelta(days=i).days) for i in range(10)]
     rows = dates.slices(spark.createDataFrame(values, "k long, v long"), "k", "v").groupBy("k").agg(F.sum(F.expr("shiftleft(1L, slice)")).alias("v")).collect()
