@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.stemmer import stem, stem_counts, stemmed
+from quarry.functions.stemmer import stem, stem_counts, stem_lists, stemmed
 
 #: Stop words, compared before stemming.
 STOPS = tuple(
@@ -30,14 +30,24 @@ def spaced(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
 
 
+def kept(text: Column) -> Column:
+    """The words that aren't stop words."""
+    return F.filter(words(text), lambda w: ~w.isin(*STOPS))
+
+
 def stems(text: Column) -> Column:
     """Stems of the words that aren't stop words, with repeats."""
-    return stemmed(F.filter(words(text), lambda w: ~w.isin(*STOPS)))
+    return stemmed(kept(text))
+
+
+def stems_of(docs: DataFrame, name: str = "stems") -> DataFrame:
+    """doc_id and ``stems`` of every document, for whole tables: no worker holds more than a piece of the stems."""
+    return stem_lists(docs, kept(F.col("text")), name)
 
 
 def forward(docs: DataFrame) -> DataFrame:
     """doc_id, n and terms (term, cnt) of every document: its stems are made once, however often they are used."""
-    return stem_counts(docs, F.filter(words(F.col("text")), lambda w: ~w.isin(*STOPS)))
+    return stem_counts(docs, kept(F.col("text")))
 
 
 def terms(text: Column) -> Column:

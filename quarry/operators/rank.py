@@ -23,7 +23,7 @@ SMALL = 1_000_000
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.stems(F.col("text")).alias("tokens"))
+    return T.stems_of(docs, "tokens")
 
 
 def lengths(docs: DataFrame) -> DataFrame:

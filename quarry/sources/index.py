@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import rank, search
 
-ANALYSES = {"words": T.words, "spaced": T.spaced, "stems": T.stems}
+ANALYSES = {"words": T.words, "spaced": T.spaced}
+
+
+def _positions(docs: DataFrame, analysis: str) -> DataFrame:
+    """term, doc_id and pos of an analysis."""
+    if analysis == "stems":
+        return search.positions(T.stems_of(docs), F.col("stems"))
+    return search.positions(docs, ANALYSES[analysis](F.col("text")))
 
 
 def _sorted(rows: DataFrame, path: str, *key: str, parts: int | None = None) -> None:
@@ -35,7 +42,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, path: str, analysis: str = "words", parts: int | None = None) -> Index:
         index = cls(docs.sparkSession, path, analysis)
-        _sorted(search.positions(docs, ANALYSES[analysis](F.col("text"))), f"{path}/places", "term", "doc_id", "pos", parts=parts)
+        _sorted(_positions(docs, analysis), f"{path}/places", "term", "doc_id", "pos", parts=parts)
         docs.select("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
         index._store_grams()
         return index
@@ -58,7 +65,7 @@ class Index:
 
     def append(self, docs: DataFrame) -> None:
         """Add documents; ``compact`` merges the parts later. K-grams of new terms are added."""
-        fresh = search.positions(docs, ANALYSES[self.analysis](F.col("text")))
+        fresh = _positions(docs, self.analysis)
         new = search.kgrams(fresh.select("term").distinct()).join(self.grams, ["gram", "term"], "left_anti")
         new.sortWithinPartitions("gram", "term").write.mode("append").parquet(f"{self.path}/grams")
         fresh.sortWithinPartitions("term", "doc_id", "pos").write.mode("append").parquet(f"{self.path}/places")

@@ -1,8 +1,11 @@
 import math
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import stemmer
 from quarry.operators import rank
 from quarry.sources.index import RankIndex
 
@@ -69,6 +72,19 @@ def test_texts_are_analysed_once(docs_of):
     assert "InArrow" not in rank.weights(docs)._jdf.queryExecution().executedPlan().toString()  # from the stored forward table
 
 
+def test_workers_count_pieces_not_batches(monkeypatch):
+    words = [["sail"] * (i % 90) + [f"rope{i}", "anchors"] for i in range(3000)] + [["oil"] * 5000, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array(words)], names=["doc_id", "words"])
+    monkeypatch.setattr(stemmer, "PIECE", 1000)
+    parts = list(stemmer.counted(iter([batch])))
+    assert len(parts) > 100 and all(sum(p.column("n").to_pylist()) <= 1000 or p.num_rows == 1 for p in parts)
+    made = [r for p in parts for r in p.to_pylist()]
+    assert [(r["doc_id"], r["n"]) for r in made] == [(i, len(w)) for i, w in enumerate(words)]
+    assert all({t["term"]: t["cnt"] for t in r["terms"]} == Counter(map(stemmer.stem, w)) for r, w in zip(made, words, strict=True))
+    lists = list(stemmer._stem_lists(batch.column("words")))
+    assert len(lists) == len(parts) and [x for part in lists for x in part.to_pylist()] == [list(map(stemmer.stem, w)) for w in words]
+
+
 def test_shuffled_idf_gives_the_same(docs_of, monkeypatch):
     docs = docs_of(SHIPS)
     small = sorted(rank.weights(docs).collect())
